@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ngram_join import op3_ngram_jaccard_join
 from .token_counts import op4_token_counts
 from .word_bpe import op7_bpe_coding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_token_counts": op4_token_counts,
         "op7_bpe_coding": op7_bpe_coding,
     }
