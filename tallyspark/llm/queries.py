@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language_id import op9_language_id
 from .ngram_join import op3_ngram_jaccard_join
 from .token_counts import op4_token_counts
+from .toxicity import op10_toxicity
 from .word_bpe import op7_bpe_coding
 
 
@@ -16,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_token_counts": op4_token_counts,
         "op7_bpe_coding": op7_bpe_coding,
+        "op9_language_id": op9_language_id,
+        "op10_toxicity": op10_toxicity,
     }
 
 
