@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import license_scan
 from .language_id import op9_language_id
+from .license_scan import op1_license_scan
 from .ngram_join import op3_ngram_jaccard_join
 from .token_counts import op4_token_counts
 from .toxicity import op10_toxicity
@@ -15,6 +17,7 @@ from .word_bpe import op7_bpe_coding
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": op1_license_scan,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_token_counts": op4_token_counts,
         "op7_bpe_coding": op7_bpe_coding,
@@ -24,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_scan": license_scan.oracle()}
