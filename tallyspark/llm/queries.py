@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import license_scan
+from .fingerprints import op2_document_fingerprints
 from .language_id import op9_language_id
 from .license_scan import op1_license_scan
 from .ngram_join import op3_ngram_jaccard_join
@@ -18,6 +19,7 @@ from .word_bpe import op7_bpe_coding
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
+        "op2_document_fingerprints": op2_document_fingerprints,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_token_counts": op4_token_counts,
         "op7_bpe_coding": op7_bpe_coding,
