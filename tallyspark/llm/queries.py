@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan
+from . import license_scan, metric_tree
 from .fingerprints import op2_document_fingerprints
 from .language_id import op9_language_id
 from .license_scan import op1_license_scan
+from .metric_tree import op8_metric_tree_topk
 from .ngram_join import op3_ngram_jaccard_join
 from .token_counts import op4_token_counts
 from .toxicity import op10_toxicity
@@ -23,10 +24,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op4_token_counts": op4_token_counts,
         "op7_bpe_coding": op7_bpe_coding,
+        "op8_metric_tree_topk": op8_metric_tree_topk,
         "op9_language_id": op9_language_id,
         "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle()}
+    return {"op1_license_scan": license_scan.oracle(), "op8_metric_tree_topk": metric_tree.ORACLE}
