@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from .bpe import Pieces
 from .common import crc_mod, table
@@ -190,19 +191,13 @@ def fit_language_field(labelled: DataFrame, per_label: int = 300, span_chars: in
     return WordField.fit(out) if out else None
 
 
-def identify(docs: DataFrame, field: WordField | None, word_labels: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, lang_pred, score)`` of every whole text, with ``word_labels`` the label of each word too.
-
-    ``score`` is the mean posterior of the predicted language over the words; of equal means the
-    alphabetically first language wins. A text that is null or has no letter gets ``und`` and
-    score 0, and so does every text if nothing could be learned. Null ids stay null; repeated rows
-    give a row each; other columns are not read.
-    """
+def _labelled(field: WordField | None, word_labels: bool):
+    """From batches of (text, anything): predictions beside both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(field) if field else None
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(0).to_pylist()
             pred, score, each = [UNKNOWN] * len(texts), np.zeros(len(texts)), [[]] * len(texts)
             for i, _, post in labeller.posteriors(texts) if labeller else ():
                 mean = post.mean(0)
@@ -210,11 +205,31 @@ def identify(docs: DataFrame, field: WordField | None, word_labels: bool = False
                 pred[i], score[i] = field.labels[best], min(1.0, float(mean[best]))
                 if word_labels:
                     each[i] = [field.labels[j] for j in post.argmax(1)]
-            columns = [batch.column(0), pa.array(pred), pa.array(score)]
-            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(each, pa.list_(pa.string()))] if word_labels else [])], ["doc_id", "lang_pred", "score", *(["word_labels"] if word_labels else [])])
+            made = {"lang_pred": pa.array(pred, pa.string()), "score": pa.array(score)}
+            if word_labels:
+                made["word_labels"] = pa.array(each, pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made.values()], [*batch.schema.names, *made])
+
+    return run
+
 
-    schema = "doc_id long, lang_pred string, score double" + (", word_labels array<string>" if word_labels else "")
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, schema)
+def identify_along(rows: DataFrame, field: WordField | None, word_labels: bool = False) -> DataFrame:
+    """``rows(text, rest)`` with the prediction of each text beside it."""
+    new = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), *([StructField("word_labels", ArrayType(StringType()))] if word_labels else [])]
+    rows = rows.select("text", "rest")
+    return rows.mapInArrow(_labelled(field, word_labels), StructType([*rows.schema.fields, *new]))
+
+
+def identify(docs: DataFrame, field: WordField | None, word_labels: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, lang_pred, score)`` of every whole text, with ``word_labels`` the label of each word too.
+
+    ``score`` is the mean posterior of the predicted language over the words; of equal means the
+    alphabetically first language wins. A text that is null or has no letter gets ``und`` and
+    score 0, and so does every text if nothing could be learned. Null ids stay null; repeated rows
+    give a row each; other columns are not read.
+    """
+    rows = docs.select(docs[text_col].alias("text"), docs[id_col].cast("long").alias("rest"))
+    return identify_along(rows, field, word_labels).select(F.col("rest").alias("doc_id"), "lang_pred", "score", *(["word_labels"] if word_labels else []))
 
 
 def trained_on(docs: DataFrame) -> WordField | None:
