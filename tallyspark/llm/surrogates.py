@@ -86,7 +86,7 @@ def permuted(number: int, size: int, key: bytes, *parts: str) -> int:
 
 
 def luhn(digits: str) -> int:
-    return sum(d if k % 2 else (2 * d if d < 5 else 2 * d - 9) for k, d in enumerate(int(c) for c in reversed(digits)))
+    return sum((2 * d if d < 5 else 2 * d - 9) if k % 2 else d for k, d in enumerate(int(c) for c in reversed(digits)))
 
 
 def reshaped(value: str, key: bytes, kind: str, attempt: int) -> str:
