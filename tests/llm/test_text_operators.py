@@ -111,7 +111,7 @@ def test_license_scan(spark):
     rows = [*enumerate(texts), (None, texts[0]), (0, texts[0])]
     got = sorted((tuple(r) for r in scan_licenses(frame(spark, rows)).collect()), key=str)
     assert got == sorted(((i, *plain_scan(t, known)) for i, t in rows), key=str)
-    assert sum(bool(r[5]) for r in got) > 10
+    assert sum(bool(r[6]) for r in got) > 15
     assert scan_licenses(frame(spark, [])).count() == 0
     assert scan_licenses(frame(spark, [(1, "q r s")]), known=[Template(("q", "r"), "own", True)]).first().base_labels == "own"
 
