@@ -20,7 +20,7 @@ from tallyspark.llm.word_bpe import encode_documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document goes if no language takes this share of its words.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.35
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
