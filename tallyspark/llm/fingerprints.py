@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -173,20 +174,28 @@ def with_next(docs: DataFrame, parts: int | None = None) -> tuple[DataFrame, int
     holds. A range's guest row is the first of the next range, the last range's that of the first.
     """
     parts = parts or 4 * shuffle_partitions(docs.sparkSession)
-    borders = sorted({int(b) for b in docs.where("doc_id is not null").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts)}, reverse=True)
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(borders))).otherwise(F.aggregate(F.lit(borders).cast("array<bigint>"), F.lit(0), lambda n, b: n + (F.col("doc_id") < b).cast("int")))
-    placed = docs.withColumn("part", part)
+    borders = np.array(sorted({int(b) for b in docs.where("doc_id is not null").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts)}), np.int64)
+
+    @F.pandas_udf("int")
+    def part_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(len(borders) - np.searchsorted(borders, ids.to_numpy(np.int64), "right"))
+
+    known = F.coalesce("doc_id", F.lit(0))
+    placed = docs.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(len(borders))).otherwise(part_of(known)))
     heads = {r["part"]: r["head"] for r in placed.groupBy("part").agg(F.max("doc_id").alias("head")).collect()}
     order = sorted(heads)
-    guests = [(heads[p], order[k - 1]) for k, p in enumerate(order)]  # a head and the range before its own, in a circle
-    to = F.lit(None).cast("int")
-    by_head: dict = {}
-    for head, before in guests:
-        by_head.setdefault(head, before)
-    seats = F.create_map(*[F.lit(x) for h, b in by_head.items() if h is not None for x in (h, b)]) if any(h is not None for h in by_head) else None
-    guest_of = F.try_element_at(seats, F.col("doc_id")) if seats is not None else to
-    if None in by_head:
-        guest_of = F.when(F.col("doc_id").isNull(), F.lit(by_head[None])).otherwise(guest_of)
+    before = {heads[p]: order[k - 1] for k, p in reversed([*enumerate(order)])}  # by head the range before its own, in a circle
+    at_null = before.pop(None, None)
+    firsts = np.array(sorted(before), np.int64)
+    seats = np.array([before[h] for h in firsts.tolist()], np.int64)
+
+    @F.pandas_udf("int")
+    def guest_seat(ids: pd.Series) -> pd.Series:
+        ids = ids.to_numpy(np.int64)
+        at = np.minimum(np.searchsorted(firsts, ids), max(0, len(firsts) - 1))
+        return pd.Series(np.where(firsts[at] == ids, seats[at], -1) if len(firsts) else np.full(len(ids), -1))
+
+    guest_of = F.when(F.col("doc_id").isNull(), F.lit(at_null).cast("int")).otherwise(F.nullif(guest_seat(known), F.lit(-1)))
     seat = lambda p, g: F.struct(p.cast("int").alias("part"), F.lit(g).alias("guest"))
     rows = placed.withColumn("guest_of", guest_of).select("doc_id", "text", F.explode(F.when(F.col("guest_of").isNull(), F.array(seat(F.col("part"), False))).otherwise(F.array(seat(F.col("part"), False), seat(F.col("guest_of"), True)))).alias("seat"))
     return rows.select("seat.part", "seat.guest", "doc_id", "text"), len(order)
