@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Hashable
 
@@ -24,7 +25,17 @@ def cut(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # The shuffles behind the cut serve nobody any more; their files go when the driver notices.
+    del df
+    gc.collect()
+    context._jvm.System.gc()
+    return out
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df``, a cut table of a few narrow columns, marked for broadcast if it has at most ``rows`` rows; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Remembered, cut, table
+from .common import Remembered, broadcast_if_small, cut, table
 from .components import smallest_of
 
 #: Most elements in the table of frequent n-grams that is sent to the tasks (16 bytes each).
@@ -145,7 +145,13 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b")
+
+
+def _sets_of(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """``(doc_id, elements)`` of the documents that stand in pairs."""
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    return cut(texts.join(broadcast_if_small(wanted), "doc_id", "left_semi").mapInArrow(_whole_sets(words), "doc_id long, elements array<long>"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,23 +174,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     # Classes of one size and one prefix are one group; its leader posts the prefix.
     groups = classes.groupBy("n", "phash").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).where("members > 1")
     followers = cut(classes.select("n", "phash", "rep").join(groups.select("n", "phash", "leader"), ["n", "phash"]).select("rep", "leader", "n").distinct())
-    leaders = classes.join(followers.where("rep <> leader").select("rep"), "rep", "left_anti")
+    members = cut(followers.where("rep <> leader"))
+    leaders = classes.join(broadcast_if_small(members.select("rep")), "rep", "left_anti")
     postings = leaders.select(F.col("rep").alias("id"), "n", F.posexplode("prefix").alias("pos", "token"))
     by_token = Window.partitionBy("token")
     shared = postings.select("token", "id", "n", "pos", F.count("*").over(by_token).alias("listed"), F.min(F.struct("id", "n")).over(by_token).alias("head")).where("listed > 1")
     shared = cut(shared.select("token", "id", "n", "pos", "head"))
 
-    members = followers.where("rep <> leader")
     near = lambda a, b: (a * 100 >= b * percent) & (b * 100 >= a * percent)
     star = shared.where((F.col("id") != F.col("head.id")) & near(F.col("n"), F.col("head.n"))).select(F.col("head.id").alias("a"), F.col("id").alias("b"))
-    star = star.union(members.select(F.col("leader").alias("a"), F.col("rep").alias("b"))).distinct()
+    star = cut(star.union(members.select(F.col("leader").alias("a"), F.col("rep").alias("b"))).distinct())
     # From here on, members stand beside their leaders, and each group is a list of its own.
     spread = shared.select("token", "id", "n", "pos", F.lit(False).alias("own")).union(
         shared.join(members.select(F.col("leader").alias("id"), "rep"), "id").select("token", F.col("rep").alias("id"), "n", "pos", F.lit(False))
     ).union(followers.select(F.col("leader").alias("token"), F.col("rep").alias("id"), "n", F.lit(0).alias("pos"), F.lit(True)))
-    wanted = spread.select(F.col("id").alias("doc_id")).distinct()
-    sets = cut(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_whole_sets(words), "doc_id long, elements array<long>"))
-    links = cut(_linked(star, sets, percent))
+    links = cut(_linked(star, _sets_of(star, texts, words), percent))
 
     # The exact round: pairs that meet in a list and are not in one component yet.
     found = smallest_of(links)
@@ -202,8 +206,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     possible = left_over + F.least("pos_x", "pos_y") >= need
     pairs = x.join(y, ["token", "own"]).where((F.col("component_x") != F.col("component_y")) & near(F.col("n_x"), F.col("n_y")) & (F.col("own") | (early & possible)))
     pairs = pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
-    pairs = pairs.join(star, ["a", "b"], "left_anti")
-    found = smallest_of(links.union(_linked(pairs, sets, percent)))
+    pairs = cut(pairs.join(star.hint("merge"), ["a", "b"], "left_anti"))
+    found = smallest_of(links.union(_linked(pairs, _sets_of(pairs, texts, words), percent)))
 
     keyed = sizes.join(classes.select("n", "sig", "rep"), ["n", "sig"], "left").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     by_id = keyed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
@@ -212,3 +216,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct(list_transform(range(0, len(ws) - 4), lambda i: array_to_string(ws[i + 1 : i + 5], ' '))) END AS sh FROM w),
+e AS (SELECT doc_id, unnest(sh) AS t FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM e x JOIN e y ON x.t = y.t AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * i >= 80 * (len(x.sh) + len(y.sh) - i)),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(n, c) AS (SELECT doc_id, doc_id FROM s UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.n)
+SELECT doc_id, len(any_value(sh)) AS n_shingles, min(c) AS component_id FROM s JOIN r ON n = doc_id GROUP BY doc_id
+"""

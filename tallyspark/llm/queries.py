@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, metric_tree, source_mix
+from . import license_scan, metric_tree, ngram_join, source_mix
 from .fingerprints import op2_document_fingerprints
 from .language_id import op9_language_id
 from .license_scan import op1_license_scan
@@ -37,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle(), "op8_metric_tree_topk": metric_tree.ORACLE, "op5_source_mix": source_mix.ORACLE}
+    return {"op1_license_scan": license_scan.oracle(), "op8_metric_tree_topk": metric_tree.ORACLE, "op3_ngram_jaccard_join": ngram_join.ORACLE, "op5_source_mix": source_mix.ORACLE}
