@@ -27,6 +27,8 @@ from .components import smallest_of
 
 #: Most elements in the table of frequent n-grams that is sent to the tasks (16 bytes each).
 FREQUENT_ROWS = 1 << 19
+#: Classes of elements whose counts bound the overlap of two sets.
+BUCKETS = 128
 #: N-grams that a task counts at a time.
 CHUNK = 4_000_000
 #: Odd multipliers of the n-gram hash, one for each place and one for the length.
@@ -114,10 +116,14 @@ def _prefixes(words: int, percent: int, tokens: np.ndarray, seen: np.ndarray):
 
 
 def _whole_sets(words: int):
+    """Each whole set, and how many of its elements fall into each of ``BUCKETS`` classes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["doc_id", "elements"])
+            sets = [shingles(t) for t in batch.column(1).to_pylist()]
+            counts = [np.bincount(s.view(np.uint64) % np.uint64(BUCKETS), minlength=BUCKETS).astype(np.int32) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "elements", "counts"])
 
     return run
 
@@ -141,17 +147,25 @@ def frequent_table(counts: DataFrame, rows: int = FREQUENT_ROWS) -> tuple[np.nda
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` whose whole sets reach the threshold."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
+    """Pairs ``(a, b)`` whose whole sets reach the threshold.
+
+    Two sets share at most the smaller count of each bucket. Counts are short, so this exact bound
+    comes first, and whole sets travel only for the pairs that it leaves.
+    """
+    reach = lambda shared, x, y: shared * 100 >= (x + y - shared) * percent
+    total = lambda c: F.aggregate(c, F.lit(0), lambda s, v: s + v)
+    counts = lambda end, name: sets.select(F.col("doc_id").alias(end), F.col("counts").alias(name)).hint("merge")
+    most = total(F.zip_with("cx", "cy", lambda u, v: F.least(u, v)))
+    left = cut(pairs.join(counts("a", "cx"), "a").join(counts("b", "cy"), "b").where(reach(most, total(F.col("cx")), total(F.col("cy")))).select("a", "b").distinct())
+    whole = lambda end, name: sets.select(F.col("doc_id").alias(end), F.col("elements").alias(name)).join(broadcast_if_small(cut(left.select(F.col(end)).distinct())), end, "left_semi").hint("merge")
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b")
+    return left.join(whole("a", "x"), "a").join(whole("b", "y"), "b").where(reach(both, F.size("x"), F.size("y"))).select("a", "b")
 
 
 def _sets_of(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """``(doc_id, elements)`` of the documents that stand in pairs."""
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    return cut(texts.join(broadcast_if_small(wanted), "doc_id", "left_semi").mapInArrow(_whole_sets(words), "doc_id long, elements array<long>"))
+    return cut(texts.join(broadcast_if_small(wanted), "doc_id", "left_semi").mapInArrow(_whole_sets(words), "doc_id long, elements array<long>, counts array<int>"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
