@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import cut, shuffle_partitions, table
 
 #: Vectors of a block, entries of a page, queries that visit a block together.
-BLOCK, PAGE, TOGETHER = 20_000, 128, 2_000
+BLOCK, PAGE, TOGETHER = 20_000, 1_024, 2_000
 #: Distances are bounds only up to this share; candidates within it are computed exactly.
 SLACK = 1e-9
 
@@ -75,8 +75,12 @@ def bulk_load(ids: np.ndarray, points: np.ndarray, seed: int = 1) -> list[Page]:
     return pages
 
 
-def search(pages: list[Page], query: np.ndarray, k: int, without: int | None = None) -> list[tuple[float, int]]:
-    """The ``k`` nearest ``(distance, id)`` of other ids than ``without``, and all that may tie with them."""
+def search(pages: list[Page], query: np.ndarray, norm: float, k: int, without: int | None = None) -> list[tuple[float, int]]:
+    """The ``k`` nearest ``(distance, id)`` of other ids than ``without``, and all that may tie with them.
+
+    All points have the squared length ``norm``, so one product gives the distances of a page.
+    """
+    own = float(query @ query) + norm
     best: list[float] = []  # the k least distances, negated: the largest on top
     found: list[tuple[np.ndarray, np.ndarray]] = []
     bound = np.inf
@@ -87,19 +91,23 @@ def search(pages: list[Page], query: np.ndarray, k: int, without: int | None = N
             break
         page = pages[number]
         radii = page.radii if page.ids is None else 0.0
-        keep = np.arange(len(page.points))
+        keep = slice(None)
         if to_pivot == to_pivot and bound < np.inf:
-            keep = keep[np.abs(to_pivot - page.to_parent) - radii <= bound]
-        d = distances(page.points[keep], query)
+            near = np.abs(to_pivot - page.to_parent) - radii <= bound * (1 + SLACK)
+            keep = slice(None) if near.all() else np.flatnonzero(near)
+        d = np.sqrt(np.maximum(0.0, own - 2 * (page.points[keep] @ query)))
         if page.ids is None:
             low = np.maximum(0.0, d - page.radii[keep]) * (1 - SLACK)
-            for x, child, own in zip(low, page.pages[keep], d):
+            for x, child, away in zip(low, page.pages[keep], d):
                 if x <= bound:
-                    heapq.heappush(todo, (float(x), int(child), float(own)))
+                    heapq.heappush(todo, (float(x), int(child), float(away)))
             continue
         near = (d <= bound) & (page.ids[keep] != without)
         found.append((d[near], page.ids[keep][near]))
-        for x in np.sort(d[near])[:k]:
+        closest = d[near]
+        for x in np.sort(np.partition(closest, k)[:k] if len(closest) > k else closest):
+            if len(best) == k and x >= -best[0]:
+                break
             heapq.heappush(best, -x) if len(best) < k else heapq.heappushpop(best, -x)
         if len(best) == k:
             bound = -best[0] * (1 + SLACK) + SLACK
@@ -150,7 +158,7 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int
         for query, v in zip(asked["query_id"], asked["v"]):
             q = np.asarray(v, np.float64)
             own = float((q**2).sum()) + norm
-            near = search(got, np.append(q, 0.0), k, int(query))
+            near = search(got, np.append(q, 0.0), norm, k, int(query))
             # From distance back to the whole number: |q|^2 + R^2 - 2 q.x.
             rows += [(query, i, round((own - d * d) / 2)) for d, i in near]
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
