@@ -19,12 +19,23 @@ from .common import Remembered, crc_mod, table
 from .sampling import balanced
 
 WORD = re.compile(r"[^\W_]+")
+#: Runs of more characters are not remembered.
+LONG = 60
+#: Characters of a run whose n-grams are held at once.
+WINDOW = 2_000
 
 
-def grams(word: str, least: int = 3, most: int = 6) -> set[str]:
-    """Character n-grams of a lower-cased word between its borders."""
-    w = f"<{word[:60]}>"
-    return {w[k : k + n] for n in range(least, most + 1) for k in range(len(w) - n + 1)}
+def windows(word: str, least: int = 3, most: int = 6) -> Iterator[set[str]]:
+    """Character n-grams of a lower-cased word between its borders, window by window: together all of them."""
+    w = f"<{word}>"
+    for at in range(0, len(w), WINDOW):
+        part = w[at : at + WINDOW + most - 1]
+        yield {part[k : k + n] for n in range(least, most + 1) for k in range(len(part) - n + 1)}
+
+
+def grams(word: str) -> set[str]:
+    """All character n-grams of a lower-cased word between its borders."""
+    return set().union(*windows(word))
 
 
 def words(text: str | None) -> set[str]:
@@ -47,8 +58,10 @@ class ScaledLinear:
         labelled rows: the intercept is moved from the balanced share to it.
         """
         names: dict[str, int] = {}
-        of_word = Remembered(lambda w: np.array([names.setdefault(g, len(names)) for g in sorted(grams(w))], np.int64))
-        docs = [np.unique(np.concatenate([of_word[w] for w in sorted(t)])) if t else np.empty(0, np.int64) for t in texts]
+        number = lambda part: np.array([names.setdefault(g, len(names)) for g in sorted(part)], np.int64)
+        of_word = Remembered(lambda w: number(grams(w)))
+        numbers = lambda w: of_word[w] if len(w) <= LONG else np.unique(np.concatenate([number(part) for part in windows(w)]))
+        docs = [np.unique(np.concatenate([numbers(w) for w in sorted(t)])) if t else np.empty(0, np.int64) for t in texts]
         y = np.array(labels, bool)
         count = [np.bincount(np.concatenate([np.empty(0, np.int64), *(d for d, one in zip(docs, y) if one == which)]), minlength=len(names)) for which in (True, False)]
         share = [(c + smooth) / (c + smooth).sum() for c in count]
@@ -82,27 +95,34 @@ class ScaledLinear:
 
     def known(self, word: str) -> np.ndarray:
         rows = self.rows
-        return np.array([rows[g] for g in grams(word) if g in rows], np.int64)
+        return np.array([*{rows[g] for part in windows(word) for g in part if g in rows}], np.int64)
+
+
+def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From batches of (label, place, text): the distinct words of each whole text, sorted, in its place."""
+    for batch in batches:
+        found = pa.array([sorted(words(t)) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["label", "place", "words"])
 
 
-def fit_toxicity(labelled: DataFrame, texts: DataFrame, per_label: int = 1200, text_chars: int = 20_000) -> ScaledLinear | None:
+def fit_toxicity(labelled: DataFrame, texts: DataFrame, per_label: int = 1200) -> ScaledLinear | None:
     """Train on ``labelled(doc_id, label)`` with the texts of those ids; None without both labels.
 
-    The sample is bounded: about ``per_label`` ids of each label, the first ``text_chars``
-    characters of each. Where an id has several labels, the largest counts.
+    The sample is bounded: the whole texts of about ``per_label`` ids of each label, of which the
+    driver gets the distinct words. Where an id has several labels, the largest counts.
     """
     rows = labelled.where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     total = rows.agg(F.avg("label")).first()[0]
     if total is None or total in (0.0, 1.0):
         return None
     sample = rows.sparkSession.createDataFrame(balanced(rows, "label", per_label).select("doc_id", "label", "place").limit(4 * per_label).collect(), "doc_id long, label int, place double")
-    got = texts.join(F.broadcast(sample), "doc_id").select("label", "place", F.substring("text", 1, text_chars).alias("text")).limit(8 * per_label).collect()
-    got.sort(key=lambda r: (r["place"], r["text"] or ""))
-    return ScaledLinear.fit([words(r["text"]) for r in got], [r["label"] for r in got], total)
+    got = texts.join(F.broadcast(sample), "doc_id").select("label", "place", "text").mapInArrow(_word_lists, "label int, place double, words array<string>").limit(8 * per_label).collect()
+    got.sort(key=lambda r: (r["place"], r["words"]))
+    return ScaledLinear.fit([set(r["words"]) for r in got], [r["label"] for r in got], total)
 
 
 def score_toxicity(docs: DataFrame, model: ScaledLinear | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, score, predicted)`` of every whole text.
+    """``(doc_id, score, predicted)`` of every whole text, by all n-grams of all its words.
 
     A null or empty text has no n-gram and scores as the intercept alone; without a model every
     score is 0. Null ids stay null, repeated rows give a row each, other columns are not read.
@@ -110,10 +130,11 @@ def score_toxicity(docs: DataFrame, model: ScaledLinear | None, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Remembered(model.known, 300_000) if model else {}
+        rows_of = lambda w: known[w] if len(w) <= LONG else model.known(w)
         for batch in batches:
             scores = np.zeros(batch.num_rows)
             for i, text in enumerate(batch.column(1).to_pylist() if model else ()):
-                got = [k for w in words(text) if len(k := known[w])]
+                got = [k for w in words(text) if len(k := rows_of(w))]
                 z = model.intercept + (model.weights[np.unique(np.concatenate(got))].sum() if got else 0.0)
                 scores[i] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])

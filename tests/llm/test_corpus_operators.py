@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyspark.llm import ngram_join, surrogates
+from tallyspark.llm import ngram_join, surrogates, toxicity
 from tallyspark.llm.components import smallest_of
 from tallyspark.llm.language_id import UNKNOWN, WordField, forward_backward, identify
 from tallyspark.llm.metric_tree import top_products, whole_numbers
@@ -231,6 +231,22 @@ def test_toxicity(spark):
     assert score_toxicity(docs, None).where("score <> 0").count() == 0 and score_toxicity(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_reads_whole_runs_and_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "WINDOW", 50)
+    rng = random.Random(8)
+    run = "".join(rng.choice("aeiou") for _ in range(333))
+    w = f"<{run}>"
+    assert toxicity.grams(run) == {w[k : k + n] for n in range(3, 7) for k in range(len(w) - n + 1)}
+    # What tells the labels apart stands behind 60 characters of a run, or behind 20,000 characters of a text.
+    plain = lambda n: "".join(rng.choice(["tree", "house", "river"]) for _ in range(n))
+    for far in (lambda bad: plain(40) + ("vexator" if bad else "") + plain(10), lambda bad: "tree house " * 2_000 + (" vexator" if bad else "")):
+        docs = spark.createDataFrame([(k, far(k % 4 == 0)) for k in range(200)], "doc_id long, text string")
+        model = fit_toxicity(spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(200)], "doc_id long, label int"), docs)
+        new = spark.createDataFrame([(k, plain(3_000) + ("vexator" if k % 2 else "") + plain(50)) for k in range(4)], "doc_id long, text string")
+        for frame, every in ((docs, 4), (new, 2)):
+            assert {r.doc_id: r.predicted for r in score_toxicity(frame, model).collect()} == {r.doc_id: int(r.doc_id % every == (every == 2)) for r in frame.collect()}
+
+
 def test_pipeline(spark, tmp_path):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     extra = spark.createDataFrame([(9000, "12 34 -- 56", "en", "src1", 11), (9001, None, None, None, None), (9002, "the of and to in that is write to bob.07@mail1.example.com for the and of", "en", "src1", 72)], rows.schema)
