@@ -7,6 +7,7 @@ yields each word's posterior; a document takes the language of the largest mean
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,6 +24,10 @@ from .sampling import balanced
 UNKNOWN = "und"
 #: Words of the documents that one forward-backward pass holds.
 AT_ONCE = 400_000
+#: Letters of one position; a longer run of letters becomes several.
+REACH = 40
+#: Stands where a position's run goes on, before it or behind it; no letter.
+ON = "-"
 
 
 def forward_backward(emit: np.ndarray, starts: np.ndarray, lengths: np.ndarray, trans: np.ndarray, pairs: bool = False):
@@ -51,11 +56,35 @@ def forward_backward(emit: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
     return post, (joint / joint.sum((1, 2), keepdims=True)).sum(0)
 
 
+def stretches(word: str) -> list[str]:
+    """A run of letters as positions of at most REACH letters of its own, about equally long.
+
+    Where the run goes on, a position holds the next two letters too, for the n-grams across the
+    cut, and the sign ON; a position that continues a run starts with ON.
+    """
+    n = -(-len(word) // REACH)
+    cuts = [len(word) * k // n for k in range(n + 1)]
+    return [f"{ON if a else ''}{word[a:b]}{word[b : b + 2] + ON if b < len(word) else ''}" for a, b in itertools.pairwise(cuts)]
+
+
+def positions(words: list[str]) -> list[str]:
+    """The words in order, those over REACH letters as their stretches."""
+    if max(map(len, words), default=0) <= REACH:
+        return words
+    return [p for w in words for p in ([w] if len(w) <= REACH else stretches(w))]
+
+
 def affixes(word: str, lexicon) -> list[str]:
-    """Feature names of a lower-cased word."""
-    w = f"<{word[:40]}>"
-    out = [w[:2], w[:3], w[:4], w[-2:], w[-3:], w[-4:], w[-5:]]
-    out += [f"~{w[k : k + n]}" for n in (1, 2, 3) for k in range(1, len(w) - n)]
+    """Feature names of a position: a lower-cased word, or a stretch of one with those of its own letters.
+
+    Prefixes belong to a run's first stretch and suffixes to its last.
+    """
+    begins, ends = word[:1] != ON, word[-1:] != ON
+    w = f"<{word.strip(ON)}>"
+    out = [w[:2], w[:3], w[:4]] if begins else []
+    out += [w[-2:], w[-3:], w[-4:], w[-5:]] if ends else []
+    own = len(w) - 1 if ends else len(w) - 3
+    out += [f"~{w[k : k + n]}" for n in (1, 2, 3) for k in range(1, min(own, len(w) - n))]
     if word in lexicon:
         out.append(f"={word}")
     return out
@@ -136,7 +165,7 @@ class Labeller:
         self.number: dict[str, int] = {}
 
     def words(self, text: str | None) -> list[str]:
-        return self.find(text.lower()) if text else []
+        return positions(self.find(text.lower())) if text else []
 
     def emissions(self, words: list[str]) -> np.ndarray:
         try:
@@ -175,19 +204,33 @@ class Labeller:
                 size += len(w)
 
 
-def fit_language_field(labelled: DataFrame, per_label: int = 300, span_chars: int = 20_000, span_words: int = 18, spans: int = 14) -> WordField | None:
+def _spans(span_words: int, spans: int):
+    """From batches of (place, label, text): stretches of words drawn from each whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = Pieces("[{L}]+")
+        for batch in batches:
+            drawn = []
+            for place, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                words = positions(find(text.lower()))
+                rng = np.random.default_rng([3, int(place * (1 << 32))])
+                starts = sorted({int(x) for x in rng.integers(0, max(1, len(words) - span_words + 1), spans)})
+                drawn.append([words[s : s + span_words] for s in starts if words])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), pa.array(drawn, pa.list_(pa.list_(pa.string())))], ["place", "label", "spans"])
+
+    return run
+
+
+def fit_language_field(labelled: DataFrame, per_label: int = 300, span_words: int = 18, spans: int = 14) -> WordField | None:
     """Train on ``labelled(doc_id, text, label)``; None if no row has a label and a letter.
 
-    The sample is bounded: about ``per_label`` rows of each label, the first ``span_chars``
-    characters of each, and ``spans`` stretches of ``span_words`` words of those.
+    The sample is bounded: about ``per_label`` rows of each label, and ``spans`` stretches of
+    ``span_words`` words from anywhere in the whole text of each. Tasks draw them, so whole texts
+    never meet in the driver.
     """
     rows = balanced(labelled.where("text is not null and label is not null"), "label", per_label)
-    got = sorted(rows.select("place", "doc_id", "label", F.substring("text", 1, span_chars).alias("text")).collect(), key=lambda r: (r["label"], r["place"], r["text"]))
-    find, rng, out = Pieces("[{L}]+"), np.random.default_rng(3), []
-    for r in got:
-        words = find(r["text"].lower())
-        starts = sorted({int(x) for x in rng.integers(0, max(1, len(words) - span_words + 1), spans)})
-        out += [(words[s : s + span_words], r["label"]) for s in starts if words]
+    got = rows.select("place", "label", "text").mapInArrow(_spans(span_words, spans), "place double, label string, spans array<array<string>>").collect()
+    out = [(span, r["label"]) for r in sorted(got, key=lambda r: (r["label"], r["place"], r["spans"])) for span in r["spans"]]
     return WordField.fit(out) if out else None
 
 
@@ -224,7 +267,8 @@ def identify(docs: DataFrame, field: WordField | None, word_labels: bool = False
     """``(doc_id, lang_pred, score)`` of every whole text, with ``word_labels`` the label of each word too.
 
     ``score`` is the mean posterior of the predicted language over the words; of equal means the
-    alphabetically first language wins. A text that is null or has no letter gets ``und`` and
+    alphabetically first language wins. A run of over REACH letters, as in scripts without spaces,
+    counts as several words, which together hold all its letters. A text that is null or has no letter gets ``und`` and
     score 0, and so does every text if nothing could be learned. Null ids stay null; repeated rows
     give a row each; other columns are not read.
     """

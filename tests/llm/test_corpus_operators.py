@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tallyspark.llm import ngram_join, surrogates, toxicity
 from tallyspark.llm.components import smallest_of
-from tallyspark.llm.language_id import UNKNOWN, WordField, forward_backward, identify
+from tallyspark.llm.language_id import affixes, fit_language_field, forward_backward, identify, stretches, UNKNOWN, WordField
 from tallyspark.llm.metric_tree import top_products, whole_numbers
 from tallyspark.llm.ngram_join import near_duplicates
 from tallyspark.llm.source_mix import entropy, mix_sources, temper, weights
@@ -217,6 +217,22 @@ def test_language_field(spark):
     assert identify(df, None).where("lang_pred <> 'und'").count() == 0 and identify(df.limit(0), field).count() == 0
 
 
+def test_language_reads_whole_runs_and_texts(spark):
+    rng = random.Random(9)
+    run = "".join(rng.choice("abcdefg") for _ in range(203))
+    whole = Counter(f"~{run[k : k + n]}" for n in (1, 2, 3) for k in range(len(run) - n + 1)) + Counter([*(f"<{run[:k]}" for k in (1, 2, 3)), *(f"{run[-k:]}>" for k in (1, 2, 3, 4))])
+    assert Counter(f for p in stretches(run) for f in affixes(p, ())) == whole
+    # Texts that begin alike: only what stands behind 20,000 characters tells the languages apart.
+    letters = {"xx": "abcde", "yy": "vwxyz"}
+    word = lambda k: "".join(rng.choice(letters[k]) for _ in range(6))
+    rows = [(i, "mmm nnn " * 2_600 + " ".join(word(k) for _ in range(4_000)), k) for i, k in enumerate(["xx", "yy"] * 20)]
+    field = fit_language_field(spark.createDataFrame(rows, "doc_id long, text string, label string"))
+    # A single run whose first 40 letters are of one language and the rest of the other.
+    new = [(k == "yy", "".join(word("xx" if k == "yy" else "yy") for _ in range(7))[:40] + "".join(word(k) for _ in range(200))) for k in letters]
+    got = {r.doc_id: r for r in identify(spark.createDataFrame([(int(i), t) for i, t in new], "doc_id long, text string"), field).collect()}
+    assert (got[0].lang_pred, got[1].lang_pred) == ("xx", "yy") and min(r.score for r in got.values()) > 0.8
+
+
 def test_toxicity(spark):
     rng = random.Random(7)
     text = lambda toxic: " ".join([rng.choice(["tree", "house", "river", "stone", "cloud"]) for _ in range(20)] + ([rng.choice(["vexator", "vexing", "vexed"])] if toxic else []))
