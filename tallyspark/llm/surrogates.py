@@ -35,36 +35,82 @@ GIVEN = {
 SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ka ke ko la le lo ma me mo na ne no ra re ro sa se so ta te to va".split(), "cyrillic": "ба бе бо ва ве во га го да де до ка ке ко ла ле ло ма ме мо на не но ра ре ро са".split()}
 #: Alphabets that a permutation keeps a character within.
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", *("".join(map(chr, r)) for r in ([*range(0xDF, 0xF7), *range(0xF8, 0x100)], [*range(0xC0, 0xD7), *range(0xD8, 0xDF)], range(0x3B1, 0x3C2), range(0x430, 0x450), range(0x410, 0x430)))]
-HEX = ["0123456789abcdef"]
+#: Hexadecimal digits of lower case, of upper case, and of both in one value.
+HEX = ["0123456789abcdef"], ["0123456789ABCDEF"], ["0123456789", "abcdef", "ABCDEF"]
 
 
 def places(alphabets: list[str]) -> dict[str, tuple[int, int]]:
     return {c: (a, i) for a, letters in enumerate(alphabets) for i, c in enumerate(letters)}
 
 
-PLACE, HEX_PLACE = places(ALPHABETS), places(HEX)
+PLACE, HEX_PLACE = places(ALPHABETS), [places(h) for h in HEX]
 #: What is found, in order of precedence. Each pattern reads a text in linear time.
 PATTERNS = {
     "email": r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "key": r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)|(?<=token = \")[0-9a-f]{40}(?=\")",
+    "key": r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)|(?<!\w)[0-9A-Fa-f]{40}(?!\w)",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\w)",
-    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?!\w)",
+    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "card": r"(?<![\w+-])[3-6]\d{3}(?:([ -]?)\d{4})(?:\1\d{4}){2}(?!-?\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w(+-])(?:\+\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\w-])|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}(?![\w-])",
     "name": rf"(?<!\w)(?:{'|'.join(TITLES)})\.? [A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я]+(?: [A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я]+)?",
 }
 FIND = re.compile("|".join(f"(?P<{k}>{v.replace(chr(92) + '1', '(?P=gap)').replace('([ -]?)', '(?P<gap>[ -]?)')})" for k, v in PATTERNS.items()))
-HINT = re.compile(rf"@|\d{{3}}|\d\.\d|AKIA|(?:{'|'.join(TITLES)})\.? \w")
+HINT = re.compile(rf"@|\d{{3}}|\d\.\d|AKIA|\+\d|(?<!\w)[A-Z]{{2}}\d\d ?[A-Z0-9]|(?<!\w)[0-9A-Fa-f]{{40}}|(?:{'|'.join(TITLES)})\.? \w")
+#: What stands before a hexadecimal key: a name, and any spacing, quotes and separator.
+NAMED = re.compile(r"(?:token|key|secret)[\w-]*[\\\"'`\])]*\s*(?::=|=>|->|[:=])?\s*[\\\"'`(\[]*\Z", re.IGNORECASE)
+#: Accounts in whole groups of four are taken even if their check digits are wrong.
+WHOLE_GROUPS = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?!\w)")
 
 NEW_COLUMNS = [StructField("n_entities", LongType()), StructField("kinds", StringType())]
 
 
+def iban_check(value: str) -> str:
+    """The two check digits that an account number should have."""
+    bare = value.replace(" ", "")
+    return f"{98 - int(''.join(str(int(c, 36)) for c in f'{bare[4:]}{bare[:2]}00')) % 97:02d}"
+
+
+def valid_iban(value: str) -> bool:
+    return 15 <= len(value.replace(" ", "")) <= 34 and value[2:4] == iban_check(value)
+
+
+def found_end(m: re.Match, kind: str) -> int:
+    """Where a match really ends; its start if it is none.
+
+    An account ends where its check digits hold, since words in capitals may follow it. Forty
+    hexadecimal digits are a key if a name of one stands before them.
+    """
+    text, start, end = m.string, m.start(), m.end()
+    if kind == "key" and end - start == 40:
+        return end if NAMED.search(text[max(0, start - 100) : start]) else start
+    if kind == "iban":
+        at = end
+        while at > start:
+            if valid_iban(text[start:at]):
+                return at
+            at = text.rfind(" ", start, at)
+        plain = WHOLE_GROUPS.match(text, start)
+        return plain.end() if plain else start
+    return end
+
+
 def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     """``(start, end, kind, value)`` of each entity, left to right."""
     if not text or not HINT.search(text):
         return []
-    return [(m.start(), m.end(), m.lastgroup if m.lastgroup != "gap" else "card", m.group()) for m in FIND.finditer(text)]
+    out, again = [], 0
+    while again is not None:
+        at, again = again, None
+        for m in FIND.finditer(text, at):
+            kind = m.lastgroup if m.lastgroup != "gap" else "card"
+            start, end = m.start(), found_end(m, kind)
+            if end > start:
+                out.append((start, end, kind, text[start:end]))
+            if end < m.end():
+                again = max(end, start + 1)
+                break
+    return out
 
 
 def draw(key: bytes, *parts: str) -> int:
@@ -91,10 +137,11 @@ def luhn(digits: str) -> int:
 
 def reshaped(value: str, key: bytes, kind: str, attempt: int) -> str:
     """The image of ``value`` under the permutation of all strings of its shape, each character in its alphabet."""
-    keep = {"email": value.rfind("."), "iban": 2, "key": 4 if value.startswith("AKIA") else 0, "phone": len(re.match(r"\+\d{1,3}(?=\D)|", value).group())}.get(kind, 0)
+    keep = {"email": value.rfind("."), "iban": 2, "iban checked": 4, "key": 4 if value.startswith("AKIA") else 0, "phone": len(re.match(r"\+\d{1,3}(?=\D)|", value).group())}.get(kind, 0)
     fixed = (lambda i: i >= keep) if kind == "email" else (lambda i: i < keep)
     hexed = kind == "key" and not value.startswith("AKIA")
-    alphabets, within = (HEX, HEX_PLACE) if hexed else (ALPHABETS, PLACE)
+    case = (0 if value == value.lower() else 1 if value == value.upper() else 2) if hexed else 0
+    alphabets, within = (HEX[case], HEX_PLACE[case]) if hexed else (ALPHABETS, PLACE)
     spots = [(i, *within[c]) for i, c in enumerate(value) if c in within and not fixed(i)]
     shape = "".join(c if fixed(i) or c not in within else chr(within[c][0]) for i, c in enumerate(value))
     number, size = 0, 1
@@ -131,6 +178,10 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
             n, k = divmod(n, len(SYLLABLES[script]))
             surname += SYLLABLES[script][k]
         return f"{title} {given[first]} {surname.capitalize()}" if " " in name else f"{title} {surname.capitalize()}"
+    if kind == "iban" and valid_iban(value):
+        # The check digits follow from the rest, so the rest alone is permuted.
+        out = reshaped(f"{value[:2]}00{value[4:]}", key, "iban checked", attempt)
+        return f"{out[:2]}{iban_check(out)}{out[4:]}"
     # Walking a permutation until the type's rules hold is a permutation of the sound values.
     out = reshaped(value, key, kind, attempt)
     for _ in range(10_000):

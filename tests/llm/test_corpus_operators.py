@@ -159,6 +159,28 @@ def test_surrogates_keep_type_and_coreference(spark):
     assert surrogates.luhn(re.sub(r"\D", "", mapping["4111 1111 1111 1111"])) % 10 == 0
 
 
+IBANS = ["DE89370400440532013000", "GB29NWBK60161331926819", "FR1420041010050500013M02606", "NL91ABNA0417164300", "IT60X0542811101000000123456", "CH9300762011623852957", "NO9386011117947", "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19"]
+SECRET = "1eb9c654e721b4f812088970e66a6345cee33dd6"
+
+
+@pytest.mark.parametrize("value", IBANS)
+def test_accounts(value):
+    for text in (f"to {value}.", f"TO {value} WITH THANKS", value, f"{value}, bob@mail.example.com"):
+        assert entities(text)[0][2:] == ("iban", value), text
+    new = surrogate("iban", value, b"k")
+    assert new != value and new[:2] == value[:2] and surrogates.valid_iban(new) and [c == " " for c in new] == [c == " " for c in value]
+    assert not entities("to DE88370400440532013000 now") and not entities("AB12 CDEF GHIJ K")
+
+
+@pytest.mark.parametrize("form", ['token = "{}"', 'token="{}"', "token: '{}'", "API_KEY={}", '{{"secret": "{}"}}', "secret_key := `{}`", "token {}"])
+def test_keys_after_any_name(form):
+    for value in (SECRET, SECRET.upper(), "A" + SECRET[1:], "ab1" * 13 + "c"):
+        assert [e[2:] for e in entities(form.format(value))] == [("key", value)]
+        new = surrogate("key", value, b"k")
+        assert new != value and re.fullmatch("[0-9a-fA-F]{40}", new) and not {*new} & ({*"abcdef"} if value == value.upper() else set())
+    assert not [e for e in entities(f"commit {SECRET} of the tree") if e[2] == "key"]
+
+
 def test_permutation_is_one_to_one():
     for size in (1, 2, 7, 100, 1000):
         assert sorted(surrogates.permuted(n, size, b"k", "x") for n in range(size)) == list(range(size))
