@@ -3,7 +3,7 @@
 An entity's surrogate depends on the key and the entity alone, so it is the same wherever the
 entity stands. Shaped entities (addresses, numbers, keys) go through a keyed permutation of all
 strings of their shape; names get a given name of the same gender and a new surname in the same
-script. A pass over the distinct entities of all texts checks that no two share a surrogate and
+script, the surname drawn by the surname and the given name by the given name, whatever the title. A pass over the distinct entities of all texts checks that no two share a surrogate and
 that no surrogate is itself an entity of the texts; those that clash draw again.
 """
 
@@ -33,6 +33,10 @@ GIVEN = {
     ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Жанна Зоя Ирина Ксения Лидия".split(),
 }
 SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ka ke ko la le lo ma me mo na ne no ra re ro sa se so ta te to va".split(), "cyrillic": "ба бе бо ва ве во га го да де до ка ке ко ла ле ло ма ме мо на не но ра ре ро са".split()}
+#: Last letters of given names that are made up.
+ENDS = {("latin", "m"): "n", ("latin", "f"): "la", ("cyrillic", "m"): "н", ("cyrillic", "f"): "ла"}
+#: The least octet of so many digits, and how many there are.
+OCTETS = {1: (0, 10), 2: (10, 90), 3: (100, 156)}
 #: Alphabets that a permutation keeps a character within.
 ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", *("".join(map(chr, r)) for r in ([*range(0xDF, 0xF7), *range(0xF8, 0x100)], [*range(0xC0, 0xD7), *range(0xD8, 0xDF)], range(0x3B1, 0x3C2), range(0x430, 0x450), range(0x410, 0x430)))]
 #: Hexadecimal digits of lower case, of upper case, and of both in one value.
@@ -156,28 +160,49 @@ def reshaped(value: str, key: bytes, kind: str, attempt: int) -> str:
 
 
 def sound(kind: str, value: str, like: str) -> bool:
-    """Whether a surrogate keeps its type's own rules: octets in range, check digits valid if they were."""
-    if kind == "ip":
-        return all(int(x) < 256 and str(int(x)) == x for x in value.split("."))
+    """Whether a surrogate keeps its type's own rules: check digits valid if they were."""
     if kind == "card":
         check = lambda s: luhn(re.sub(r"\D", "", s)) % 10 == 0
         return value[0] in "3456" and check(value) == check(like)
     return value != like
 
 
+def script_of(name: str) -> str:
+    return "cyrillic" if re.search("[А-Яа-я]", name) else "latin"
+
+
+def made_up(n: int, script: str, syllables: int) -> str:
+    out = ""
+    for _ in range(syllables):
+        n, k = divmod(n, len(SYLLABLES[script]))
+        out += SYLLABLES[script][k]
+    return out.capitalize()
+
+
 def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     """The replacement of an entity; ``attempt`` counts the clashes it has had."""
     if kind == "name":
         title, _, name = value.partition(" ")
-        script = "cyrillic" if re.search("[А-Яа-я]", name) else "latin"
-        n = draw(key, kind, value, str(attempt))
-        given, n = GIVEN[script, TITLES[title.rstrip(".")]], n
-        n, first = divmod(n, len(given))
-        surname = ""
-        for _ in range(5):
-            n, k = divmod(n, len(SYLLABLES[script]))
-            surname += SYLLABLES[script][k]
-        return f"{title} {given[first]} {surname.capitalize()}" if " " in name else f"{title} {surname.capitalize()}"
+        given, _, surname = name.rpartition(" ")
+        # A clash of whole names redraws the given name alone, so the surname stays one.
+        surname = made_up(draw(key, "surname", surname, "0" if given else str(attempt)), script_of(surname), 6)
+        if not given:
+            return f"{title} {surname}"
+        gender, script, n = TITLES[title.rstrip(".")], script_of(given), draw(key, "given", given, str(attempt))
+        pool = GIVEN[script, gender]
+        # So many clashes mean that the pool is used up for this surname.
+        first = pool[n % len(pool)] if attempt < 20 else made_up(n, script, 3) + ENDS[script, gender]
+        return f"{title} {first} {surname}"
+    if kind == "ip":
+        octets = [(int(x), *OCTETS[len(x)]) for x in value.split(".")]
+        number, size = 0, 1
+        for x, low, n in octets:
+            number, size = number * n + x - low, size * n
+        number, out = permuted(number, size, key, kind, ".".join(str(n) for _, _, n in octets), str(attempt)), []
+        for _, low, n in reversed(octets):
+            number, x = divmod(number, n)
+            out.append(str(low + x))
+        return ".".join(reversed(out))
     if kind == "iban" and valid_iban(value):
         # The check digits follow from the rest, so the rest alone is permuted.
         out = reshaped(f"{value[:2]}00{value[4:]}", key, "iban checked", attempt)
@@ -214,24 +239,28 @@ def _drawn(rows: DataFrame, key: bytes, attempt: int) -> DataFrame:
 
 
 def redrawn(docs: DataFrame, key: bytes, attempts: int = 50) -> DataFrame:
-    """``(kind, value, surrogate)`` of the entities that cannot have their first surrogate."""
+    """``(kind, value, surrogate)`` of the entities that cannot have their first surrogate.
+
+    Names are compared without their titles: forms of one name do not clash, and draw again together.
+    """
+    bare = lambda c: F.when(F.col("kind") == "name", F.regexp_replace(c, r"^\S+ ", "")).otherwise(F.col(c))
     found = cut(_distinct(docs))
-    originals = found.select(F.col("value").alias("surrogate")).distinct()
+    originals = found.select(bare("value").alias("image")).distinct()
     given = cut(_drawn(found, key, 0))
-    by_surrogate = Window.partitionBy("surrogate").orderBy("kind", "value")
+    by_image = Window.partitionBy("image").orderBy("kind", bare("value"))
 
     def split(rows: DataFrame, taken: DataFrame) -> DataFrame:
-        marked = rows.withColumn("turn", F.row_number().over(by_surrogate))
-        return cut(marked.join(taken.distinct().withColumn("used", F.lit(True)), "surrogate", "left").select("kind", "value", "surrogate", ((F.col("turn") > 1) | F.coalesce("used", F.lit(False))).alias("clash")))
+        marked = rows.withColumn("image", bare("surrogate")).withColumn("turn", F.dense_rank().over(by_image))
+        return cut(marked.join(taken.distinct().withColumn("used", F.lit(True)), "image", "left").select("kind", "value", "surrogate", ((F.col("turn") > 1) | F.coalesce("used", F.lit(False))).alias("clash")))
 
     marked = split(given, originals)
-    fine, waiting, out = marked.where("not clash").select("surrogate"), marked.where("clash"), None
+    fine, waiting, out = marked.where("not clash").select(bare("surrogate").alias("image")), marked.where("clash"), None
     for attempt in range(1, attempts):
         if waiting.isEmpty():
             break
         marked = split(_drawn(waiting, key, attempt), originals.union(fine))
         good = marked.where("not clash").select("kind", "value", "surrogate")
-        fine, out = fine.union(good.select("surrogate")), good if out is None else out.union(good)
+        fine, out = fine.union(good.select(bare("surrogate").alias("image"))), good if out is None else out.union(good)
         waiting = marked.where("clash")
     return out if out is not None else waiting.select("kind", "value", "surrogate")
 

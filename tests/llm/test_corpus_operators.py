@@ -181,6 +181,27 @@ def test_keys_after_any_name(form):
     assert not [e for e in entities(f"commit {SECRET} of the tree") if e[2] == "key"]
 
 
+def test_surrogate_addresses_are_addresses():
+    rng = random.Random(3)
+    old = {".".join(str(rng.choice([rng.randrange(100, 256), rng.randrange(256)] if k % 4 else [rng.randrange(100, 256)])) for _ in range(4)) for k in range(6_000)}
+    new = {surrogate("ip", x, b"k") for x in old}
+    assert len(new) == len(old) and all(0 <= int(x) < 256 and str(int(x)) == x for ip in new for x in ip.split("."))
+    assert sorted(len(x) for x in new) == sorted(map(len, old))
+
+
+def test_one_person_keeps_one_surname(spark):
+    given = ["John", *(f"J{a}{b}" for a in "aeiou" for b in "bcdfg")]
+    forms = ["Mr. Smith", "Mr Smith", "Ms. Smith", *(f"{t} {g} Smith" for t in ("Mr.", "Mr") for g in given), "Mr. John Jones"]
+    rows = [(0, "; ".join(forms)), (1, "Mr John Smith")]
+    got = {r.doc_id: r.text.split("; ") for r in replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()}
+    new = dict(zip(forms, got[0]))
+    assert len({*new.values()}) == len(forms) and got[1] == [new["Mr John Smith"]]
+    surnames = {old: x.split()[-1] for old, x in new.items()}
+    assert len({x for old, x in surnames.items() if old.endswith("Smith")}) == 1 and surnames["Mr. John Jones"] != surnames["Mr. Smith"]
+    assert all(new[f"Mr. {g} Smith"].split()[1:] == new[f"Mr {g} Smith"].split()[1:] for g in given)
+    assert len({new[f"Mr. {g} Smith"] for g in given}) == len(given)
+
+
 def test_permutation_is_one_to_one():
     for size in (1, 2, 7, 100, 1000):
         assert sorted(surrogates.permuted(n, size, b"k", "x") for n in range(size)) == list(range(size))
