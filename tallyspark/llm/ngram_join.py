@@ -2,13 +2,15 @@
 
 A document's set holds 64-bit hashes of its n-grams. All sets are put in one global order, rare
 before frequent. Two sets of a Jaccard similarity of at least t share an element of their short
-prefixes in this order, so only documents that meet in a prefix are compared. Documents of one
-size and one prefix form a group, and only one leader of a group posts the prefix; members come
-back before verification, which compares whole sets.
+prefixes in this order, so only documents that meet in a prefix are compared. Equal sets form a
+class; classes of one size and one prefix form a group, and only its leader posts the prefix.
+Group pairs are filtered by size, by position and by how many prefix elements they share; those
+left are expanded into their members, whose whole sets are verified.
 
 Links serve to find components, so comparisons whose answer cannot matter are left out, and only
-those: a first, linear round compares every document with the leader of each prefix element's
-list; a second, exact round compares all remaining pairs that lie in different components.
+those. Star rounds, linear in the postings, compare every class with one leading class of its
+lists; the exact round takes all pairs that still lie in different components, first the most
+promising one of each two components and then, once those are joined, the rest.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Remembered, broadcast_if_small, cut, table
@@ -27,10 +29,12 @@ from .components import smallest_of
 
 #: Most elements in the table of frequent n-grams that is sent to the tasks (16 bytes each).
 FREQUENT_ROWS = 1 << 19
-#: Classes of elements whose counts bound the overlap of two sets.
-BUCKETS = 128
-#: N-grams that a task counts at a time.
-CHUNK = 4_000_000
+#: A task's marks for n-grams it has met (a byte each), and how many it meets before it starts anew.
+MARKS, MET = 1 << 24, 1 << 22
+#: Repeated n-grams that a task counts at a time.
+CHUNK = 1 << 20
+#: Rows of a list that one task sorts or joins; longer lists are salted.
+SPLIT = 4_096
 #: Odd multipliers of the n-gram hash, one for each place and one for the length.
 PLACES = np.array([xxhash.xxh64_intdigest(b"place", seed=k) | 1 for k in range(64)], np.uint64)
 
@@ -62,30 +66,44 @@ class Shingler:
         return np.unique(mixed(total).view(np.int64))
 
 
+def digest(x: np.ndarray) -> bytes:
+    return blake2b(x.tobytes(), digest_size=16).digest()
+
+
 def _measure(words: int):
-    """Size and digest of each set, and n-grams that a task meets in several documents."""
+    """Size and digest of each set, and n-grams that a task meets in at least three documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, held, size = Shingler(words), [], 0
-        names = ["doc_id", "n", "sig", "token", "seen"]
+        shingles, names = Shingler(words), ["doc_id", "n", "sig", "token", "seen"]
+        marks, met = np.zeros(MARKS, np.uint8), 0
+        held: list[np.ndarray] = []
+        size = 0
 
         def frequent() -> pa.RecordBatch:
             tokens, seen = np.unique(np.concatenate(held) if held else np.empty(0, np.int64), return_counts=True)
+            # A mark may be another n-gram's, so a single repeat proves nothing.
             tokens, seen = tokens[seen > 1], seen[seen > 1]
             none = [pa.nulls(len(tokens), t) for t in (pa.int64(), pa.int64(), pa.binary())]
             return pa.RecordBatch.from_arrays([*none, pa.array(tokens), pa.array(seen.astype(np.int64))], names)
 
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            sig = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), none, none], names)
-            for s in sets:
-                held.append(s)
-                size += len(s)
-                if size >= CHUNK:
+            n, sig = [], []
+            for text in batch.column(1).to_pylist():
+                s = shingles(text)
+                n.append(len(s))
+                sig.append(digest(s))
+                at = s & (MARKS - 1)
+                again = s[marks[at] > 0]
+                marks[at] = 1
+                held.append(again)
+                size, met = size + len(again), met + len(s)
+                if size >= CHUNK or met >= MET:
                     yield frequent()
                     held, size = [], 0
+                if met >= MET:
+                    marks[:], met = 0, 0
+            none = pa.nulls(len(n), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), none, none], names)
         yield frequent()
 
     return run
@@ -97,7 +115,7 @@ def _prefixes(words: int, percent: int, tokens: np.ndarray, seen: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
         for batch in batches:
-            n, sig, whole, prefix = [], [], [], []
+            n, sig, whole, prefix, splits = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text)
                 length = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
@@ -105,25 +123,30 @@ def _prefixes(words: int, percent: int, tokens: np.ndarray, seen: np.ndarray):
                 if len(tokens) and len(s):
                     at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
                     often = np.where(tokens[at] == s, seen[at], 0)
-                p = s[np.lexsort((s, often))[:length]] if often.any() else s[:length]
+                order = np.lexsort((s, often))[:length] if often.any() else slice(length)
                 n.append(len(s))
-                sig.append(blake2b(s.tobytes(), digest_size=16).digest())
-                whole.append(blake2b(p.tobytes(), digest_size=16).digest())
-                prefix.append(p)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(whole, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "n", "sig", "phash", "prefix"])
+                sig.append(digest(s))
+                whole.append(digest(s[order]))
+                prefix.append(s[order])
+                splits.append((1 + often[order] // SPLIT).astype(np.int32))
+            columns = {"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "sig": pa.array(sig, pa.binary()), "phash": pa.array(whole, pa.binary())}
+            yield pa.RecordBatch.from_pydict(columns | {"prefix": pa.array(prefix, pa.list_(pa.int64())), "splits": pa.array(splits, pa.list_(pa.int32()))})
 
     return run
 
 
 def _whole_sets(words: int):
-    """Each whole set, and how many of its elements fall into each of ``BUCKETS`` classes."""
+    """From (a, b, text): the text's set, under the pair it is wanted for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
         for batch in batches:
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
-            counts = [np.bincount(s.view(np.uint64) % np.uint64(BUCKETS), minlength=BUCKETS).astype(np.int32) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "elements", "counts"])
+            last, sets = (None, shingles(None)), []
+            for text in batch.column(2).to_pylist():
+                if text != last[0]:
+                    last = text, shingles(text)
+                sets.append(last[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], ["a", "b", "elements"])
 
     return run
 
@@ -146,26 +169,70 @@ def frequent_table(counts: DataFrame, rows: int = FREQUENT_ROWS) -> tuple[np.nda
     return tokens[order], seen[order]
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``(a, b)`` whose whole sets reach the threshold.
+class Bounds:
+    """What sizes and positions alone say about two sets, as columns; ``percent`` is the threshold."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+
+    def near(self, x: Column, y: Column) -> Column:
+        return (x * 100 >= y * self.percent) & (y * 100 >= x * self.percent)
+
+    def need(self, x: Column, y: Column) -> Column:
+        """The overlap that sets of sizes x and y must reach."""
+        return F.ceil((x + y) * self.percent / (100 + self.percent))
+
+    def behind(self, x: Column, y: Column) -> Column:
+        """Most shared elements that can stand behind the prefix that ends first."""
+        return F.ceil(F.greatest(x, y) * self.percent / 100) - 1
 
-    Two sets share at most the smaller count of each bucket. Counts are short, so this exact bound
-    comes first, and whole sets travel only for the pairs that it leaves.
+    def worthwhile(self, x: str, y: str) -> Column:
+        """Whether rows x and y of a list may link: ``m`` postings are shared at all, ``open`` elements can be common."""
+        n, m, rest = ([F.col(f"{side}.{c}") for side in (x, y)] for c in ("n", "m", "open"))
+        need = self.need(*n)
+        return self.near(*n) & (F.least(*rest) >= need) & (F.least(*m) + self.behind(*n) >= need)
+
+
+def _verified(pairs: DataFrame, named: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of the class pairs ``(a, b)`` whose whole sets reach the threshold.
+
+    The set of b travels once for each pair, that of a once for all its pairs.
     """
-    reach = lambda shared, x, y: shared * 100 >= (x + y - shared) * percent
-    total = lambda c: F.aggregate(c, F.lit(0), lambda s, v: s + v)
-    counts = lambda end, name: sets.select(F.col("doc_id").alias(end), F.col("counts").alias(name)).hint("merge")
-    most = total(F.zip_with("cx", "cy", lambda u, v: F.least(u, v)))
-    left = cut(pairs.join(counts("a", "cx"), "a").join(counts("b", "cy"), "b").where(reach(most, total(F.col("cx")), total(F.col("cy")))).select("a", "b").distinct())
-    whole = lambda end, name: sets.select(F.col("doc_id").alias(end), F.col("elements").alias(name)).join(broadcast_if_small(cut(left.select(F.col(end)).distinct())), end, "left_semi").hint("merge")
-    both = F.size(F.array_intersect("x", "y"))
-    return left.join(whole("a", "x"), "a").join(whole("b", "y"), "b").where(reach(both, F.size("x"), F.size("y"))).select("a", "b")
+    of = lambda end: named.select(F.col("id").alias(end), F.col("rep").alias("doc_id"), F.col("sig").alias("own"))
+    both = pairs.select("a", "b").join(of("b"), "b").select("doc_id", "own", "a", "b").union(pairs.select("a").distinct().join(of("a"), "a").select("doc_id", "own", "a", F.lit(None).cast("long")))
+    wanted = broadcast_if_small(cut(both))
+    sets = cut(texts.join(wanted, "doc_id").select("a", "b", "text").mapInArrow(_whole_sets(words), "a long, b long, elements array<long>"))
+    x, y = sets.where("b is null").select("a", F.col("elements").alias("x")), sets.where("b is not null").select("a", "b", F.col("elements").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    return cut(y.join(x.hint("merge"), "a").where(shared * 100 >= (F.size("x") + F.size("y") - shared) * percent).select("a", "b").distinct())
+
+
+def _star(placed: DataFrame, bounds: Bounds, turn: int) -> DataFrame:
+    """``(a, b)``: for each class b of ``placed`` the leading class a that it meets in most lists.
+
+    A list is led by the class with the largest share of common postings, as the original of many
+    edited copies is, and in later turns by a class of a hash's choice.
+    """
+    lead = F.round(F.col("m") * 1000 / F.col("n")) if turn == 0 else F.xxhash64("id", F.lit(turn)).cast("double")
+    heads = placed.groupBy("token").agg(F.max(F.struct(lead.alias("lead"), "id", "n", "m", "open", "label")).alias("head"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+    met = placed.alias("row").join(heads, "token").where((F.col("row.label") != F.col("head.label")) & bounds.worthwhile("row", "head"))
+    met = met.groupBy(F.col("row.id").alias("b"), F.col("head.id").alias("a")).agg(F.count("*").alias("lists"))
+    return met.groupBy("b").agg(F.max_by("a", F.struct("lists", "a")).alias("a")).select("a", "b")
+
+
+def _apart(rows: DataFrame, key: str, label: str = "label") -> DataFrame:
+    """Rows of the lists ``key`` that hold several labels, with the most frequent one as ``major`` and the number of salts."""
+    per = rows.groupBy(key, label).agg(F.count("*").alias("k"))
+    lists = per.groupBy(key).agg(F.max_by(label, F.struct("k", label)).alias("major"), F.count("*").alias("kinds"), F.sum("k").alias("size"))
+    return cut(rows.join(lists.where("kinds > 1").select(key, "major", (F.floor(F.col("size") / SPLIT) + 1).cast("int").alias("salts")), key))
 
 
-def _sets_of(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """``(doc_id, elements)`` of the documents that stand in pairs."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    return cut(texts.join(broadcast_if_small(wanted), "doc_id", "left_semi").mapInArrow(_whole_sets(words), "doc_id long, elements array<long>, counts array<int>"))
+def _met(rows: DataFrame, key: str, label: str = "label") -> DataFrame:
+    """Each pair ``(x, y)`` of rows of one list with different labels once; long lists are spread over salts."""
+    x = rows.where(F.col(label) != F.col("major")).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).alias("x")
+    y = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
+    once = (F.col(f"y.{label}") == F.col("y.major")) | (F.col("x.id") < F.col("y.id"))
+    return x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.salt") == F.col("y.salt")) & (F.col(f"x.{label}") != F.col(f"y.{label}")) & once)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,58 +241,85 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     ``component_id`` is the smallest id reachable over links, where two documents link when the
     Jaccard similarity of their n-gram sets is at least ``percent`` / 100. A null, empty or blank
     text has the empty set, size 0, links with nothing and is its own component. Texts of fewer
-    words than n form one n-gram. Rows that repeat an id count as one node; a row with a null id
-    gets the component of equal texts, null if there is none. Other columns are not read.
+    words than n form one n-gram. Rows that repeat an id with different texts are linked, save
+    for empty ones; a row with a null id gets the component of equal texts, null if there is
+    none. Other columns are not read.
     """
+    bounds = Bounds(percent)
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     measured = cut(texts.mapInArrow(_measure(words), "doc_id long, n long, sig binary, token long, seen long"))
     sizes = measured.where("n is not null").select("doc_id", "n", "sig")
     tokens, seen = frequent_table(measured.where("n is null").select("token", "seen"))
 
-    # Documents of equal sets are one class, named by its smallest id; it has one prefix.
-    listed = texts.mapInArrow(_prefixes(words, percent, tokens, seen), "doc_id long, n long, sig binary, phash binary, prefix array<long>")
-    classes = cut(listed.where("n > 0 and doc_id is not null").groupBy("n", "phash", "sig").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")))
+    # Documents of equal sets are one class, which has a number and one prefix.
+    listed = texts.where("doc_id is not null").mapInArrow(_prefixes(words, percent, tokens, seen), "doc_id long, n long, sig binary, phash binary, prefix array<long>, splits array<int>")
+    classes = listed.where("n > 0").groupBy("n", "phash", "sig").agg(F.min("doc_id").alias("rep"), F.first(F.struct("prefix", "splits")).alias("posted"))
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "n", "phash", "sig", "rep", "posted"))
+    named = cut(classes.select("id", "n", "sig", "rep"))
     # Classes of one size and one prefix are one group; its leader posts the prefix.
-    groups = classes.groupBy("n", "phash").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).where("members > 1")
-    followers = cut(classes.select("n", "phash", "rep").join(groups.select("n", "phash", "leader"), ["n", "phash"]).select("rep", "leader", "n").distinct())
-    members = cut(followers.where("rep <> leader"))
-    leaders = classes.join(broadcast_if_small(members.select("rep")), "rep", "left_anti")
-    postings = leaders.select(F.col("rep").alias("id"), "n", F.posexplode("prefix").alias("pos", "token"))
-    by_token = Window.partitionBy("token")
-    shared = postings.select("token", "id", "n", "pos", F.count("*").over(by_token).alias("listed"), F.min(F.struct("id", "n")).over(by_token).alias("head")).where("listed > 1")
-    shared = cut(shared.select("token", "id", "n", "pos", "head"))
-
-    near = lambda a, b: (a * 100 >= b * percent) & (b * 100 >= a * percent)
-    star = shared.where((F.col("id") != F.col("head.id")) & near(F.col("n"), F.col("head.n"))).select(F.col("head.id").alias("a"), F.col("id").alias("b"))
-    star = cut(star.union(members.select(F.col("leader").alias("a"), F.col("rep").alias("b"))).distinct())
-    # From here on, members stand beside their leaders, and each group is a list of its own.
-    spread = shared.select("token", "id", "n", "pos", F.lit(False).alias("own")).union(
-        shared.join(members.select(F.col("leader").alias("id"), "rep"), "id").select("token", F.col("rep").alias("id"), "n", "pos", F.lit(False))
-    ).union(followers.select(F.col("leader").alias("token"), F.col("rep").alias("id"), "n", F.lit(0).alias("pos"), F.lit(True)))
-    links = cut(_linked(star, _sets_of(star, texts, words), percent))
-
-    # The exact round: pairs that meet in a list and are not in one component yet.
-    found = smallest_of(links)
-    placed = spread.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    per = placed.groupBy("token", "own", "component").agg(F.count("*").alias("k"))
-    mixed_lists = per.groupBy("token", "own").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
-    open_rows = cut(placed.join(mixed_lists, ["token", "own"]))
-    side = lambda k: open_rows.select("token", "own", *(F.col(c).alias(c + k) for c in ("id", "n", "pos", "component", "major")))
-    x, y = side("_x").where("component_x <> major_x"), side("_y")
-    # A pair meets early in the smaller set's list: within n - ceil(2t/(1+t) n) + 1 places.
-    need = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent))
-    early = F.when(F.col("n_x") <= F.col("n_y"), F.col("pos_x") <= F.col("n_x") - F.ceil(F.col("n_x") * 2 * percent / (100 + percent))).otherwise(F.col("pos_y") <= F.col("n_y") - F.ceil(F.col("n_y") * 2 * percent / (100 + percent)))
-    left_over = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
-    # Positions bound the overlap only at the first meeting, so the bound counts what may precede it.
-    possible = left_over + F.least("pos_x", "pos_y") >= need
-    pairs = x.join(y, ["token", "own"]).where((F.col("component_x") != F.col("component_y")) & near(F.col("n_x"), F.col("n_y")) & (F.col("own") | (early & possible)))
-    pairs = pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
-    pairs = cut(pairs.join(star.hint("merge"), ["a", "b"], "left_anti"))
-    found = smallest_of(links.union(_linked(pairs, _sets_of(pairs, texts, words), percent)))
-
-    keyed = sizes.join(classes.select("n", "sig", "rep"), ["n", "sig"], "left").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    by_id = keyed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
-    return by_id
+    groups = classes.groupBy("n", "phash").agg(F.min("id").alias("leader"), F.count("*").alias("members")).where("members > 1")
+    members = cut(classes.select("n", "phash", "id").join(groups.select("n", "phash", "leader"), ["n", "phash"]).select("leader", "id"))
+    leaders = classes.join(broadcast_if_small(members.where("id <> leader").select("id")), "id", "left_anti")
+    postings = leaders.select("id", "n", "posted.splits", F.posexplode("posted.prefix").alias("pos", "token"))
+    splits = F.element_at("splits", F.col("pos") + 1)
+    postings = postings.select("token", F.when(splits > 1, 1 + F.pmod(F.xxhash64("id"), splits)).otherwise(0).cast("int").alias("salt"), "id", F.col("n").cast("int").alias("n"), "pos")
+    # A posting counts if another of its list has a like size. Of one class's postings before a
+    # common one, those that do not count are not shared, since the other set would have posted them.
+    by_list, by_class = Window.partitionBy("token", "salt").orderBy("n"), Window.partitionBy("id").orderBy("pos")
+    counts = (F.col("salt") > 0) | F.coalesce(bounds.near(F.col("n"), F.col("lower")), F.lit(False)) | F.coalesce(bounds.near(F.col("n"), F.col("upper")), F.lit(False))
+    met = postings.withColumn("lower", F.lag("n").over(by_list)).withColumn("upper", F.lead("n").over(by_list)).where(counts)
+    shared = met.select("token", "id", "n", "pos", (F.col("n") - F.col("pos") + F.row_number().over(by_class) - 1).alias("open"), F.count("*").over(Window.partitionBy("id")).cast("int").alias("m"))
+    shared = cut(shared)
+
+    # Star rounds.
+    of_leader = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+    tried = cut(_star(shared.withColumn("label", F.col("id")), bounds, 0).union(of_leader).distinct())
+    links = _verified(tried, named, texts, words, percent)
+
+    def placed() -> tuple[DataFrame, DataFrame]:
+        """Postings and members with their present component; a group that lies in several has a label of its own."""
+        found = broadcast_if_small(smallest_of(links).select(F.col("node").alias("id"), "component"))
+        inside = cut(members.join(found, "id", "left").select("leader", "id", F.coalesce("component", "id").alias("label")))
+        split = inside.groupBy(F.col("leader").alias("id")).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("id", F.lit(True).alias("split"))
+        rows = shared.join(found, "id", "left").join(broadcast_if_small(cut(split)), "id", "left")
+        return rows.select("token", "id", "n", "pos", "open", "m", F.when(F.col("split"), -1 - F.col("id")).otherwise(F.coalesce("component", "id")).alias("label")), inside
+
+    more = cut(_star(placed()[0], bounds, 1).join(tried.hint("merge"), ["a", "b"], "left_anti"))
+    tried, links = cut(tried.union(more)), cut(links.union(_verified(more, named, texts, words, percent)))
+
+    # The exact round: group pairs that meet in lists of several components, then their members.
+    rows, inside = placed()
+    first = F.col("x.id") < F.col("y.id")
+    pairs = _met(_apart(rows, "token"), "token").where(bounds.worthwhile("x", "y"))
+    ends = [F.when(first, F.struct("x.id", "x.n", "x.pos")).otherwise(F.struct("y.id", "y.n", "y.pos")).alias("a"), F.when(first, F.struct("y.id", "y.n", "y.pos")).otherwise(F.struct("x.id", "x.n", "x.pos")).alias("b")]
+    pairs = pairs.select(*ends).groupBy("a.id", "b.id", "a.n", "b.n").agg(F.count("*").alias("lists"), F.max("a.pos").alias("ap"), F.max("b.pos").alias("bp")).toDF("a", "b", "an", "bn", "lists", "ap", "bp")
+    rest = F.least(F.col("an") - F.col("ap") - 1, F.col("bn") - F.col("bp") - 1, bounds.behind(F.col("an"), F.col("bn")))
+    pairs = pairs.where(F.col("lists") + rest >= bounds.need(F.col("an"), F.col("bn"))).select("a", "b", "lists")
+    member = lambda end: broadcast_if_small(members).select(F.col("leader").alias(end), F.col("id").alias(f"{end}_own"))
+    pairs = pairs.join(member("a"), "a", "left").join(member("b"), "b", "left").select(F.coalesce("a_own", "a").alias("a"), F.coalesce("b_own", "b").alias("b"), "lists")
+    own = _met(_apart(inside, "leader"), "leader").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(1 << 31).alias("lists"))
+    pairs = pairs.union(own).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "lists")
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = cut(pairs.join(done.hint("merge"), ["a", "b"], "left_anti"))
+    for best in (True, False):
+        found = broadcast_if_small(smallest_of(links).select("node", "component"))
+        at = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))  # noqa: E731, B023
+        left = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").select("a", "b", "lists", F.coalesce("a_in", "a").alias("u"), F.coalesce("b_in", "b").alias("v")).where("u <> v")
+        if best:
+            left = left.groupBy(F.least("u", "v"), F.greatest("u", "v")).agg(F.max(F.struct("lists", "a", "b")).alias("top")).select("top.a", "top.b")
+        left = cut(left.select("a", "b").distinct())
+        if not left.isEmpty():
+            links = cut(links.union(_verified(left, named, texts, words, percent)))
+        if best:
+            pairs = pairs.join(left.hint("merge"), ["a", "b"], "left_anti")
+
+    keyed = cut(sizes.join(named, ["n", "sig"], "left").select("doc_id", F.col("n").alias("n_shingles"), "id", "rep"))
+    # Rows of one id with different texts count as linked.
+    again = keyed.where("doc_id is not null and id is not null").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("doc_id", "a")
+    found = smallest_of(links.union(keyed.join(broadcast_if_small(cut(again)), "doc_id").select("a", F.col("id").alias("b"))))
+    smallest = found.join(named, found.node == named.id).groupBy("component").agg(F.min("rep").alias("component_id"))
+    placed_ids = broadcast_if_small(cut(found.join(smallest, "component").select(F.col("node").alias("id"), "component_id")))
+    return keyed.join(placed_ids, "id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "rep", "doc_id").alias("component_id"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
