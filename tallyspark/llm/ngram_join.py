@@ -186,11 +186,24 @@ class Bounds:
         """Most shared elements that can stand behind the prefix that ends first."""
         return F.ceil(F.greatest(x, y) * self.percent / 100) - 1
 
+    def least_common(self, n: Column, low: Column, high: Column) -> Column:
+        """How many counted postings a set of size n must share with any set of a size from low to high."""
+        below = F.greatest(low, F.ceil(n * self.percent / 100))
+        above = F.least(high, F.floor(n * 100 / self.percent))
+        # Towards larger sets the number falls; there it is more than this quotient.
+        falling = F.floor(((n + above) * 100 * self.percent - above * self.percent * (100 + self.percent)) / (100 * (100 + self.percent))) + 1
+        return F.greatest(F.lit(1), F.least(self.need(n, below) - self.behind(n, below), falling))
+
     def worthwhile(self, x: str, y: str) -> Column:
-        """Whether rows x and y of a list may link: ``m`` postings are shared at all, ``open`` elements can be common."""
-        n, m, rest = ([F.col(f"{side}.{c}") for side in (x, y)] for c in ("n", "m", "open"))
+        """Whether rows x and y of a list may link.
+
+        ``open`` elements of a set can be common, and ``m`` of its prefix; ``idx`` of these stand
+        before the one that met. Those before can only meet each other, and so can those behind.
+        """
+        n, m, idx, rest = ([F.col(f"{side}.{c}") for side in (x, y)] for c in ("n", "m", "idx", "open"))
         need = self.need(*n)
-        return self.near(*n) & (F.least(*rest) >= need) & (F.least(*m) + self.behind(*n) >= need)
+        common = F.least(*idx) + 1 + F.least(*(k - i - 1 for k, i in zip(m, idx)))
+        return self.near(*n) & (F.least(*rest) >= need) & (common + self.behind(*n) >= need)
 
 
 def _verified(pairs: DataFrame, named: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -214,25 +227,50 @@ def _star(placed: DataFrame, bounds: Bounds, turn: int) -> DataFrame:
     edited copies is, and in later turns by a class of a hash's choice.
     """
     lead = F.round(F.col("m") * 1000 / F.col("n")) if turn == 0 else F.xxhash64("id", F.lit(turn)).cast("double")
-    heads = placed.groupBy("token").agg(F.max(F.struct(lead.alias("lead"), "id", "n", "m", "open", "label")).alias("head"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
+    heads = placed.groupBy("token").agg(F.max(F.struct(lead.alias("lead"), "id", "n", "m", "idx", "open", "label")).alias("head"), F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most")
     met = placed.alias("row").join(heads, "token").where((F.col("row.label") != F.col("head.label")) & bounds.worthwhile("row", "head"))
     met = met.groupBy(F.col("row.id").alias("b"), F.col("head.id").alias("a")).agg(F.count("*").alias("lists"))
     return met.groupBy("b").agg(F.max_by("a", F.struct("lists", "a")).alias("a")).select("a", "b")
 
 
-def _apart(rows: DataFrame, key: str, label: str = "label") -> DataFrame:
-    """Rows of the lists ``key`` that hold several labels, with the most frequent one as ``major`` and the number of salts."""
-    per = rows.groupBy(key, label).agg(F.count("*").alias("k"))
-    lists = per.groupBy(key).agg(F.max_by(label, F.struct("k", label)).alias("major"), F.count("*").alias("kinds"), F.sum("k").alias("size"))
-    return cut(rows.join(lists.where("kinds > 1").select(key, "major", (F.floor(F.col("size") / SPLIT) + 1).cast("int").alias("salts")), key))
+def _apart(rows: DataFrame, key: str, bounds: Bounds | None = None) -> DataFrame:
+    """Rows of the lists ``key`` that hold several labels, with the most frequent one as ``major`` and the number of salts.
+
+    With ``bounds``, only postings that can be the first common one of a pair: behind it, a set
+    must have enough counted postings left for the least that it has to share in this list.
+    """
+    sizes = (F.min("n").alias("low"), F.max("n").alias("high")) if bounds else ()
+    per = rows.groupBy(key, "label").agg(F.count("*").alias("k"), *sizes)
+    lists = per.groupBy(key).agg(F.max_by("label", F.struct("k", "label")).alias("major"), F.count("*").alias("kinds"), F.sum("k").alias("size"), *((F.min("low").alias("low"), F.max("high").alias("high")) if bounds else ()))
+    out = rows.join(lists.where("kinds > 1").withColumn("salts", (F.floor(F.col("size") / SPLIT) + 1).cast("int")), key)
+    if bounds:
+        out = out.where(F.col("idx") <= F.col("m") - bounds.least_common(F.col("n"), F.col("low"), F.col("high")))
+    return cut(out.select(*rows.columns, "major", "salts"))
 
 
-def _met(rows: DataFrame, key: str, label: str = "label") -> DataFrame:
+def _met(rows: DataFrame, key: str) -> DataFrame:
     """Each pair ``(x, y)`` of rows of one list with different labels once; long lists are spread over salts."""
-    x = rows.where(F.col(label) != F.col("major")).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).alias("x")
+    x = rows.where("label <> major").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).alias("x")
     y = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
-    once = (F.col(f"y.{label}") == F.col("y.major")) | (F.col("x.id") < F.col("y.id"))
-    return x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.salt") == F.col("y.salt")) & (F.col(f"x.{label}") != F.col(f"y.{label}")) & once)
+    once = (F.col("y.label") == F.col("y.major")) | (F.col("x.id") < F.col("y.id"))
+    return x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.label") != F.col("y.label")) & once)
+
+
+def _common(pairs: DataFrame, shared: DataFrame, bounds: Bounds) -> DataFrame:
+    """``(a, b, lists)``: pairs that may still link once all their common counted postings are known.
+
+    Up to the last common one nothing else is shared, so only what stands behind it can add.
+    """
+    wanted = broadcast_if_small(cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    counted = shared.join(wanted, "id", "left_semi").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("idx", "token", "open"))).alias("c"))
+    counted = cut(counted.select("id", "n", F.col("c.token").alias("tokens"), F.transform("c", lambda x: x["open"] - x["idx"]).alias("left")))
+    side = lambda end: counted.toDF(end, *(f"{end}_{c}" for c in ("n", "tokens", "left"))).hint("merge")
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").withColumn("both", F.array_intersect("a_tokens", "b_tokens"))
+    # A set of n elements with the last common one at position p has n - p - 1 behind it.
+    last = F.element_at("both", -1)
+    left = [F.element_at(f"{end}_left", F.array_position(f"{end}_tokens", last).cast("int")) - 1 for end in "ab"]
+    n = F.col("a_n"), F.col("b_n")
+    return both.where((F.size("both") > 0) & (F.size("both") + F.least(*left, bounds.behind(*n)) >= bounds.need(*n))).select("a", "b", F.size("both").alias("lists"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,8 +306,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     by_list, by_class = Window.partitionBy("token", "salt").orderBy("n"), Window.partitionBy("id").orderBy("pos")
     counts = (F.col("salt") > 0) | F.coalesce(bounds.near(F.col("n"), F.col("lower")), F.lit(False)) | F.coalesce(bounds.near(F.col("n"), F.col("upper")), F.lit(False))
     met = postings.withColumn("lower", F.lag("n").over(by_list)).withColumn("upper", F.lead("n").over(by_list)).where(counts)
-    shared = met.select("token", "id", "n", "pos", (F.col("n") - F.col("pos") + F.row_number().over(by_class) - 1).alias("open"), F.count("*").over(Window.partitionBy("id")).cast("int").alias("m"))
-    shared = cut(shared)
+    met = met.withColumn("idx", F.row_number().over(by_class) - 1).withColumn("m", F.count("*").over(Window.partitionBy("id")).cast("int"))
+    shared = cut(met.select("token", "id", "n", "m", "idx", (F.col("n") - F.col("pos") + F.col("idx")).alias("open")))
 
     # Star rounds.
     of_leader = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"))
@@ -282,7 +320,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         inside = cut(members.join(found, "id", "left").select("leader", "id", F.coalesce("component", "id").alias("label")))
         split = inside.groupBy(F.col("leader").alias("id")).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("id", F.lit(True).alias("split"))
         rows = shared.join(found, "id", "left").join(broadcast_if_small(cut(split)), "id", "left")
-        return rows.select("token", "id", "n", "pos", "open", "m", F.when(F.col("split"), -1 - F.col("id")).otherwise(F.coalesce("component", "id")).alias("label")), inside
+        return rows.select(*shared.columns, F.when(F.col("split"), -1 - F.col("id")).otherwise(F.coalesce("component", "id")).alias("label")), inside
 
     more = cut(_star(placed()[0], bounds, 1).join(tried.hint("merge"), ["a", "b"], "left_anti"))
     tried, links = cut(tried.union(more)), cut(links.union(_verified(more, named, texts, words, percent)))
@@ -290,11 +328,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     # The exact round: group pairs that meet in lists of several components, then their members.
     rows, inside = placed()
     first = F.col("x.id") < F.col("y.id")
-    pairs = _met(_apart(rows, "token"), "token").where(bounds.worthwhile("x", "y"))
-    ends = [F.when(first, F.struct("x.id", "x.n", "x.pos")).otherwise(F.struct("y.id", "y.n", "y.pos")).alias("a"), F.when(first, F.struct("y.id", "y.n", "y.pos")).otherwise(F.struct("x.id", "x.n", "x.pos")).alias("b")]
-    pairs = pairs.select(*ends).groupBy("a.id", "b.id", "a.n", "b.n").agg(F.count("*").alias("lists"), F.max("a.pos").alias("ap"), F.max("b.pos").alias("bp")).toDF("a", "b", "an", "bn", "lists", "ap", "bp")
-    rest = F.least(F.col("an") - F.col("ap") - 1, F.col("bn") - F.col("bp") - 1, bounds.behind(F.col("an"), F.col("bn")))
-    pairs = pairs.where(F.col("lists") + rest >= bounds.need(F.col("an"), F.col("bn"))).select("a", "b", "lists")
+    pairs = _met(_apart(rows, "token", bounds), "token").where(bounds.worthwhile("x", "y"))
+    ends = lambda c: (F.when(first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")).alias(f"a_{c}"), F.when(first, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")).alias(f"b_{c}"))
+    left = [(F.col(f"{end}_m") - F.col(f"{end}_idx")).alias(f"{end}_most") for end in "ab"]
+    pairs = pairs.select(*ends("id"), *ends("n"), *ends("m"), *ends("idx")).select("a_id", "b_id", "a_n", "b_n", *left)
+    pairs = pairs.groupBy("a_id", "b_id", "a_n", "b_n").agg(F.max("a_most").alias("a_most"), F.max("b_most").alias("b_most"))
+    n = F.col("a_n"), F.col("b_n")
+    pairs = cut(pairs.where(F.least("a_most", "b_most") + bounds.behind(*n) >= bounds.need(*n)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+    pairs = _common(pairs, shared, bounds)
     member = lambda end: broadcast_if_small(members).select(F.col("leader").alias(end), F.col("id").alias(f"{end}_own"))
     pairs = pairs.join(member("a"), "a", "left").join(member("b"), "b", "left").select(F.coalesce("a_own", "a").alias("a"), F.coalesce("b_own", "b").alias("b"), "lists")
     own = _met(_apart(inside, "leader"), "leader").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(1 << 31).alias("lists"))
