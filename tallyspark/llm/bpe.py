@@ -25,19 +25,77 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in plain else next(odd)) for b in range(256)]
 
 
+def shared_prefix(a: str, b: str) -> int:
+    """How many first characters two strings share."""
+    for k, (x, y) in enumerate(zip(a, b)):
+        if x != y:
+            return k
+    return min(len(a), len(b))
+
+
+class Letters:
+    """Where the tokenizer library's tables of Unicode and Python's differ; asked of the library itself.
+
+    Of code points that Python does not know, ``newer`` has the letters and numbers and ``lower``
+    those with another lower case; ``strange`` finds code points that the two may normalise differently.
+    """
+
+    def __init__(self):
+        from tokenizers import Regex, normalizers, pre_tokenizers
+
+        kinds = {c: unicodedata.category(chr(c)) for c in range(sys.maxunicode + 1)}
+        # Planes 4 to 13 are empty in every version of Unicode.
+        unknown = "".join(chr(c) for c, kind in kinds.items() if kind == "Cn" and not 0x40000 <= c < 0xE0000)
+        runs = lambda kind: (run for run, _ in pre_tokenizers.Split(Regex(f"[^\\p{{{kind}}}]+"), "removed").pre_tokenize_str(unknown))
+        self.newer = {kind: "".join(runs(kind)) for kind in "LN"}
+        lowered = normalizers.Lowercase().normalize_str("\n".join(unknown)).split("\n")
+        self.lower = {c: x for c, x in zip(unknown, lowered) if x != c}
+        self.composed = normalizers.NFC().normalize_str
+        # Decompositions and the order of marks, as far as Python knows the code points.
+        apart = normalizers.NFD().normalize_str
+        taken = [chr(c) for c, kind in kinds.items() if kind not in ("Cn", "Cs", "Co") and c != 0x0A]
+        tried = [c for c in taken if unicodedata.decomposition(c)]
+        marks = [c for c in taken if kinds[ord(c)][0] == "M"]
+        tried += [x for c in marks for near in "\u0334\u0327\u0323\u0301" for x in (f"a{c}{near}", f"a{near}{c}")]
+        same = lambda x, y: y == unicodedata.normalize("NFD", x)
+        differ = {c for x, y in zip(tried, apart("\n".join(tried)).split("\n")) if not same(x, y) for c in x + unicodedata.normalize("NFD", x)}
+        plain = {c for c in differ if not kinds[ord(c)].startswith("M") and c.isascii()} | set("\u0334\u0327\u0323\u0301")
+        points = sorted({*map(ord, differ - plain), *map(ord, unknown)})
+        # As in Pieces: a class without astral points is a bitmap.
+        self.odd, self.odd_astral = (re.compile(f"[{spans([p for p in points if p <= last])}]") for last in (0xFFFF, sys.maxunicode))
+
+    def strange(self, text: str) -> bool:
+        """Whether a text holds a code point that Python and the library may treat differently."""
+        return (self.odd if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else self.odd_astral).search(text) is not None
+
+
+def spans(points: list[int]) -> str:
+    """Sorted code points as ranges for a class of ``re``."""
+    ranges: list[list[int]] = []
+    for point in points:
+        if ranges and ranges[-1][1] == point - 1:
+            ranges[-1][1] = point
+        else:
+            ranges.append([point, point])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
+@lru_cache(maxsize=1)
+def letters() -> Letters:
+    return Letters()
+
+
 @lru_cache(maxsize=2)
 def classes(last: int = sys.maxunicode) -> dict[str, str]:
     """Letters, numbers and white space of Unicode, up to a code point, as ranges for a class of ``re``."""
-    ranges: dict[str, list[list[int]]] = {"L": [], "N": []}
+    newer = {kind: {*map(ord, letters().newer[kind])} for kind in "LN"}
+    points: dict[str, list[int]] = {"L": [], "N": []}
     for point in range(last + 1):
         kind = unicodedata.category(chr(point))[0]
-        if kind in ranges:
-            got = ranges[kind]
-            if got and got[-1][1] == point - 1:
-                got[-1][1] = point
-            else:
-                got.append([point, point])
-    out = {k: "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in v) for k, v in ranges.items()}
+        for name in points:
+            if kind == name or point in newer[name]:
+                points[name].append(point)
+    out = {k: spans(v) for k, v in points.items()}
     return out | {"S": "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"}
 
 
@@ -114,7 +172,7 @@ class Merges:
         """Whether ``left`` followed by ``right`` stays as these two tokens."""
         got = self.known.get((left, right))
         if got is None:
-            if len(self.known) > 1_000_000:
+            if len(self.known) > 200_000:
                 self.known.clear()
             got = self.known[left, right] = self._apart(left, right)
         return got

@@ -2,40 +2,29 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Callable, Hashable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut, shared_folder  # noqa: F401
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables, by the path that Spark's own reader opens."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+#: Rows of an Arrow batch at most: a row may be a long document, and a task holds a batch several times over.
+BATCH_ROWS, BATCH_CONF = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines of the cluster see: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset and the session runs on one machine, as in tests, a temporary
-    folder takes its place. On a cluster executors could not read each other's files there.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder
-    if not re.fullmatch(r"local(\[.*\])?", context.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="spark-")
+def lean_batches(spark: SparkSession) -> None:
+    """Let the session send at most BATCH_ROWS rows at a time to Python; a smaller setting of its own stays."""
+    now = int(spark.conf.get(BATCH_CONF))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and forget its lineage."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables, by the path that Spark's own reader opens."""
+    lean_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:

@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .bpe import Pieces, classes, merges
+from .bpe import Pieces, classes, merges, shared_prefix
 from .common import Remembered, table
 
 #: Contractions that the pre-tokenizer takes as pieces of their own.
@@ -36,22 +36,39 @@ class PrefixCounts:
         self.space = re.compile(rf"[{classes()['S']}]+\Z")
         special = "|".join(map(re.escape, sorted(self.merges.special, key=len, reverse=True)))
         self.special = re.compile(f"({special})") if special else None
-        self.whole = Remembered(self._count)
+        self.whole = Remembered(self._count, 150_000)
 
-    def byte_counts(self, piece: str) -> list[int]:
-        """Tokens of every prefix of one piece, by bytes; the DP of this module."""
+    def walk(self, pieces: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+        """Each piece with the tokens of all its prefixes, by bytes; the DP of this module.
+
+        Pieces come in order, so what one shares with the piece before it is not counted again.
+        The list is the next piece's too: read it before going on.
+        """
         m = self.merges
-        word = m.symbols(piece)
-        last, counts = [""], [0]
-        for end in range(1, len(word) + 1):
-            start = m.last_start(word, end, last)
-            last.append(word[start:end])
-            counts.append(counts[start] + 1)
-        return counts
+        before, last, counts = "", [""], [0]
+        for word, piece in sorted((m.symbols(p), p) for p in pieces):
+            shared = shared_prefix(before, word)
+            del last[shared + 1 :], counts[shared + 1 :]
+            for end in range(shared + 1, len(word) + 1):
+                start = m.last_start(word, end, last)
+                last.append(word[start:end])
+                counts.append(counts[start] + 1)
+            before = word
+            yield piece, counts
+
+    def byte_counts(self, piece: str) -> list[int]:
+        """Tokens of every prefix of one piece, by bytes."""
+        return next(self.walk([piece]))[1]
 
     def _count(self, piece: str) -> int:
         return self.byte_counts(piece)[-1]
 
+    def learn(self, texts: list[list[str]]) -> None:
+        """Count the pieces of many texts that are not known yet, together."""
+        new = {p for pieces in texts for p in pieces} - self.whole.keys() - self.merges.special.keys()
+        for piece, counts in self.walk(p for p in new if p not in self.whole.old):
+            self.whole.put(piece, counts[-1])
+
     def char_counts(self, piece: str) -> list[int]:
         """As ``byte_counts``, at the piece's code points."""
         counts = self.byte_counts(piece)
@@ -123,11 +140,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PrefixCounts(tokenizer)
-        for batch in batches:
+        for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
             rows = []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                pieces = counter.pieces(text)
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            cut = [*map(counter.pieces, texts)]
+            counter.learn(cut)
+            for text, pieces in zip(texts, cut):
                 running = counter.running(pieces)
                 n = running[-1] if running else 0
                 rows.append((len(text.encode("utf-8", "surrogatepass")), n, n > limit, len(text) if n <= limit else counter.fit(pieces, running, limit)))

@@ -15,7 +15,7 @@ from hashlib import sha256
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .bpe import END, Pieces, merges
+from .bpe import END, Pieces, letters, merges, shared_prefix
 from .common import Remembered, table
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -30,18 +30,14 @@ class TrieEncoder:
         special = "|".join(map(re.escape, sorted(self.merges.special, key=len, reverse=True)))
         self.special = re.compile(f"({special})") if special else None
         self.names = {v: k for k, v in self.merges.ids.items()} | {v: k for k, v in self.merges.special.items()}
-        self.words = Remembered(lambda w: next(iter(self.walk([w])))[1], 300_000)
+        self.words = Remembered(lambda w: next(iter(self.walk([w])))[1], 100_000)
 
     def walk(self, words: Iterable[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
         """Ids of each distinct word, in the order of the words' trie."""
         m = self.merges
         before, last, starts = "", [""], [0]
         for symbols, word in sorted((m.symbols(w), w) for w in words):
-            shared = 0
-            for x, y in zip(before, symbols):
-                if x != y:
-                    break
-                shared += 1
+            shared = shared_prefix(before, symbols)
             del last[shared + 1 :], starts[shared + 1 :]
             for end in range(shared + 1, len(symbols) + 1):
                 start = m.last_start(symbols, end, last)
@@ -61,11 +57,13 @@ class TrieEncoder:
             return self.find(self.normal(text))
         return [w for k, part in enumerate(self.special.split(text)) for w in ((part,) if k % 2 else self.find(self.normal(part)))]
 
-    @staticmethod
-    def normal(text: str) -> str:
+    def normal(self, text: str) -> str:
         """NFC, then each code point's own lower case (no context rules)."""
         if text.isascii():
             return text.lower()
+        known = letters()
+        if known.strange(text):
+            return "".join(known.lower.get(c) or c.lower() for c in known.composed(text))
         text = unicodedata.normalize("NFC", text)
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
