@@ -2,10 +2,11 @@
 
 Inner products become distances: with R the largest norm, every vector x gets one more coordinate
 sqrt(R^2 - |x|^2), a query a 0 there, and then |q - x|^2 = |q|^2 + R^2 - 2 q.x, so the nearest
-neighbours are the highest products. The vectors are dealt into blocks; each block is an M-tree of
-pages, a page's entries having a pivot, a covering radius and the distance to the parent pivot.
-A search takes pages in order of their least possible distance and leaves out, by the triangle
-inequality on stored distances, entries whose own distance need not be computed.
+neighbours are the highest products. Vectors go to the block of their nearest pivot; each block is
+an M-tree of pages, a page's entries having a pivot, a covering radius and the distance to the
+parent pivot. A search takes pages in order of their least possible distance and leaves out, by
+the triangle inequality on stored distances, entries whose own distance need not be computed. A
+query searches its nearest block first; its k-th distance there rules out blocks that lie farther.
 """
 
 from __future__ import annotations
@@ -16,156 +17,268 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, table
+from .common import cut, table
 
 #: Vectors of a block, entries of a page, queries that visit a block together.
-BLOCK, PAGE, TOGETHER = 20_000, 1_024, 2_000
-#: Distances are bounds only up to this share; candidates within it are computed exactly.
+BLOCK, PAGE, TOGETHER = 20_000, 64, 20_000
+#: Blocks are no smaller than this for the sake of more tasks, and their pivots no more than that.
+SMALL_BLOCK, MOST_PIVOTS = 2_000, 4_096
+#: Bounds on distances are loosened by this share of the lengths involved.
 SLACK = 1e-9
 
 
-class Page:
-    """One node: a leaf has ids, an inner page has child pages and covering radii."""
+class Tree:
+    """An M-tree: page p holds the entries from ``start[p]`` to ``start[p + 1]``, page 0 is the root.
 
-    def __init__(self, points: np.ndarray, to_parent: np.ndarray, ids: np.ndarray | None = None, pages: np.ndarray | None = None, radii: np.ndarray | None = None):
-        self.points, self.to_parent, self.ids, self.pages, self.radii = points, to_parent, ids, pages, radii
+    An entry of a leaf is a vector and ``ids`` its id; an entry of an inner page is the pivot of a
+    child page, whose number is in ``ids`` and whose covering radius is in ``radii``.
+    """
+
+    FIELDS = ("points", "to_parent", "ids", "radii", "start", "leaf")
+
+    def __init__(self, **arrays: np.ndarray):
+        self.points, self.to_parent, self.ids, self.radii, self.start, self.leaf = (arrays[k] for k in self.FIELDS)
+        #: Distances from a query that searches have computed.
+        self.computed = 0
 
     def packed(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, **{k: v for k, v in vars(self).items() if v is not None})
+        np.savez(out, **{k: getattr(self, k) for k in self.FIELDS})
         return out.getvalue()
 
     @classmethod
-    def unpacked(cls, data: bytes) -> Page:
+    def unpacked(cls, data: bytes) -> Tree:
         with np.load(io.BytesIO(data)) as got:
             return cls(**{k: got[k] for k in got.files})
 
+    @classmethod
+    def bulk_load(cls, ids: np.ndarray, points: np.ndarray, seed: int = 1) -> Tree:
+        """Points go to the nearest of sampled pivots, level by level."""
+        rng, pages = np.random.default_rng(seed), []
+
+        def build(at: np.ndarray, pivot: np.ndarray) -> tuple[int, float]:
+            number = len(pages)
+            pages.append(None)
+            to_pivot = distances(points[at], pivot)
+            if len(at) <= PAGE:
+                pages[number] = points[at], to_pivot, ids[at], np.zeros(len(at)), True
+                return number, float(to_pivot.max(initial=0.0))
+            pivots = points[rng.choice(at, min(PAGE, -(-len(at) // (PAGE // 2))), replace=False)]
+            near = nearest(points[at], pivots)[0]
+            if (near == near[0]).all():  # copies of one vector: any split keeps them together at radius 0
+                near = np.arange(len(at)) % len(pivots)
+            children = [(p, at[near == k]) for k, p in enumerate(pivots) if (near == k).any()]
+            made = [build(members, p) for p, members in children]
+            stand = np.array([p for p, _ in children])
+            pages[number] = stand, distances(stand, pivot), np.array([n for n, _ in made]), np.array([r for _, r in made]), False
+            return number, float(to_pivot.max())
+
+        build(np.arange(len(ids)), points[0])
+        start = np.cumsum([0, *(len(p[1]) for p in pages)])
+        entries = dict(zip(cls.FIELDS, (np.concatenate([p[k] for p in pages]) for k in range(4))))
+        return cls(**entries, start=start, leaf=np.array([p[4] for p in pages]))
+
+    def search(self, query: np.ndarray, norm: float, k: int, without: int | None = None, bound: float = np.inf) -> list[tuple[float, int]]:
+        """The ``k`` nearest ``(distance, id)`` within ``bound`` of other ids than ``without``, and all that may tie with them.
+
+        All points have the squared length ``norm``, so one product gives the distances of a page.
+        """
+        own = float(query @ query) + norm
+        loose = SLACK * float(np.sqrt(own))
+        bound += loose
+        best: list[float] = []  # the k least distances, negated: the largest on top
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        todo = [(0.0, 0, np.nan)]
+        while todo:
+            least, number, to_pivot = heapq.heappop(todo)
+            if least > bound:
+                break
+            page = slice(self.start[number], self.start[number + 1])
+            points, ids, radii = self.points[page], self.ids[page], self.radii[page]
+            if to_pivot == to_pivot and bound < np.inf:
+                near = np.abs(to_pivot - self.to_parent[page]) - radii <= bound
+                if not near.all():
+                    near = np.flatnonzero(near)
+                    points, ids, radii = points[near], ids[near], radii[near]
+            self.computed += len(ids)
+            d = np.sqrt(np.maximum(0.0, own - 2 * (points @ query)))
+            if not self.leaf[number]:
+                low = d - radii - loose
+                for x, child, away in zip(low.tolist(), ids.tolist(), d.tolist()):
+                    if x <= bound:
+                        heapq.heappush(todo, (x, child, away))
+                continue
+            near = (d <= bound) & (ids != without)
+            closest = d[near]
+            if not len(closest):
+                continue
+            found.append((closest, ids[near]))
+            for x in np.sort(np.partition(closest, k)[:k] if len(closest) > k else closest).tolist():
+                if len(best) == k and x >= -best[0]:
+                    break
+                heapq.heappush(best, -x) if len(best) < k else heapq.heappushpop(best, -x)
+            if len(best) == k:
+                bound = min(bound, -best[0] + loose)
+        d, ids = (np.concatenate([f[i] for f in found]) if found else np.empty(0) for i in (0, 1))
+        return [(float(x), int(i)) for x, i in zip(d, ids) if x <= bound]
+
 
 def distances(points: np.ndarray, to: np.ndarray) -> np.ndarray:
     d = points - to
     return np.sqrt(np.einsum("ij,ij->i", d, d))
 
 
-def bulk_load(ids: np.ndarray, points: np.ndarray, seed: int = 1) -> list[Page]:
-    """Pages of an M-tree, the root first: points go to the nearest of sampled pivots, level by level."""
-    rng, pages = np.random.default_rng(seed), []
-
-    def build(at: np.ndarray, pivot: np.ndarray) -> tuple[int, float]:
-        number = len(pages)
-        pages.append(None)
-        to_pivot = distances(points[at], pivot)
-        if len(at) <= PAGE:
-            pages[number] = Page(points[at], to_pivot, ids=ids[at])
-            return number, float(to_pivot.max(initial=0.0))
-        pivots = points[rng.choice(at, min(PAGE, -(-len(at) // (PAGE // 2))), replace=False)]
-        near = np.argmin(((pivots**2).sum(1)[None] - 2 * points[at] @ pivots.T), axis=1)
-        if (near == near[0]).all():  # copies of one vector: any split keeps them together at radius 0
-            near = np.arange(len(at)) % len(pivots)
-        children = [(p, at[near == k]) for k, p in enumerate(pivots) if (near == k).any()]
-        made = [build(members, p) for p, members in children]
-        stand = np.array([p for p, _ in children])
-        pages[number] = Page(stand, distances(stand, pivot), pages=np.array([n for n, _ in made]), radii=np.array([r for _, r in made]))
-        return number, float(to_pivot.max())
-
-    if len(ids):
-        build(np.arange(len(ids)), points.mean(0))
-    return pages
-
-
-def search(pages: list[Page], query: np.ndarray, norm: float, k: int, without: int | None = None) -> list[tuple[float, int]]:
-    """The ``k`` nearest ``(distance, id)`` of other ids than ``without``, and all that may tie with them.
-
-    All points have the squared length ``norm``, so one product gives the distances of a page.
-    """
-    own = float(query @ query) + norm
-    best: list[float] = []  # the k least distances, negated: the largest on top
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    bound = np.inf
-    todo = [(0.0, 0, np.nan)] if pages else []
-    while todo:
-        least, number, to_pivot = heapq.heappop(todo)
-        if least > bound:
-            break
-        page = pages[number]
-        radii = page.radii if page.ids is None else 0.0
-        keep = slice(None)
-        if to_pivot == to_pivot and bound < np.inf:
-            near = np.abs(to_pivot - page.to_parent) - radii <= bound * (1 + SLACK)
-            keep = slice(None) if near.all() else np.flatnonzero(near)
-        d = np.sqrt(np.maximum(0.0, own - 2 * (page.points[keep] @ query)))
-        if page.ids is None:
-            low = np.maximum(0.0, d - page.radii[keep]) * (1 - SLACK)
-            for x, child, away in zip(low, page.pages[keep], d):
-                if x <= bound:
-                    heapq.heappush(todo, (float(x), int(child), float(away)))
-            continue
-        near = (d <= bound) & (page.ids[keep] != without)
-        found.append((d[near], page.ids[keep][near]))
-        closest = d[near]
-        for x in np.sort(np.partition(closest, k)[:k] if len(closest) > k else closest):
-            if len(best) == k and x >= -best[0]:
-                break
-            heapq.heappush(best, -x) if len(best) < k else heapq.heappushpop(best, -x)
-        if len(best) == k:
-            bound = -best[0] * (1 + SLACK) + SLACK
-    d, ids = (np.concatenate([f[i] for f in found]) if found else np.empty(0) for i in (0, 1))
-    return [(float(x), int(i)) for x, i in zip(d, ids) if x <= bound]
-
-
-def tree_pages(vectors: DataFrame, dims: int, norm: int, blocks: int) -> DataFrame:
-    """``(block, page, data)``: the M-tree of each block of ``vectors(vec_id, v)``."""
+def nearest(points: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of the nearest pivot of each point, and all squared distances but for each point's own length."""
+    away = (pivots**2).sum(1)[None] - 2 * points @ pivots.T
+    return np.argmin(away, axis=1), away
+
+
+def lifted(v: np.ndarray, norm: float) -> np.ndarray:
+    """Vectors with the coordinate that gives them all the squared length ``norm``."""
+    return np.concatenate([v, np.sqrt(np.maximum(0.0, norm - (v**2).sum(1)))[:, None]], 1)
+
+
+class Directory:
+    """The blocks' pivots: for each length of vectors its largest squared norm, pivots and their block numbers."""
+
+    def __init__(self, norms: dict[int, int], pivots: list[list[int]]):
+        self.norms, self.pivots, self.numbers = norms, {}, {}
+        #: Filled once vectors are placed: each block's covering radius and parts.
+        self.radii, self.parts = np.zeros(0), np.zeros(0, np.int64)
+        done = 0
+        for d, norm in sorted(norms.items()):
+            own = [p for p in pivots if len(p) == d]
+            own = np.array(own, np.float64).reshape(len(own), d)
+            self.pivots[d], self.numbers[d] = lifted(own, norm), np.arange(done, done + len(own))
+            done += len(own)
+
+    def __len__(self) -> int:
+        return sum(map(len, self.numbers.values()))
+
+    def placed(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From batches of (vec_id, v): each with its block and the distance to the block's pivot."""
+        for batch in batches:
+            vectors = batch.column(1).to_pylist()
+            block, away = np.zeros(len(vectors), np.int32), np.zeros(len(vectors))
+            for d, rows in self.by_length(vectors):
+                points = lifted(np.array([vectors[i] for i in rows], np.float64), self.norms[d])
+                at = nearest(points, self.pivots[d])[0]
+                block[rows], away[rows] = self.numbers[d][at], distances(points, self.pivots[d][at])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block), pa.array(away)], ["vec_id", "v", "block", "away"])
+
+    def visits(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From batches of (query, vec_id, v, home, part, bound): the blocks, part by part, that the bound leaves to visit."""
+        for batch in batches:
+            vectors, home, part, bound = (batch.column(k).to_pylist() for k in (2, 3, 4, 5))
+            out: list[list] = [[] for _ in vectors]
+            for d, rows in self.by_length(vectors):
+                q = np.array([vectors[i] for i in rows], np.float64)
+                own = (q**2).sum(1) + self.norms[d]
+                away = np.sqrt(np.maximum(0.0, own[:, None] - 2 * q @ self.pivots[d][:, :-1].T))
+                low = away - self.radii[self.numbers[d]][None] - 2 * SLACK * np.sqrt(own)[:, None]
+                for i, least in zip(rows, low):
+                    near = self.numbers[d][np.flatnonzero(least <= bound[i])] if bound[i] is not None else self.numbers[d]
+                    out[i] = [{"block": int(b), "part": p} for b in near for p in range(self.parts[b]) if (b, p) != (home[i], part[i])]
+            kind = pa.list_(pa.struct([("block", pa.int32()), ("part", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column(5), pa.array(out, kind)], ["query", "vec_id", "v", "bound", "near"])
+
+    @staticmethod
+    def by_length(vectors: list[list[int]]) -> list[tuple[int, np.ndarray]]:
+        sizes = np.array([len(v) for v in vectors])
+        return [(int(d), np.flatnonzero(sizes == d)) for d in np.unique(sizes)]
+
+
+def directory(vectors: DataFrame) -> Directory:
+    """Pivots drawn by hash, about one a block and at most about MOST_PIVOTS, and one of each length at least."""
+    place = F.pmod(F.xxhash64("v", F.lit(3)), F.lit(1 << 32)) / float(1 << 32)
+    rows = vectors.select("v", F.size("v").alias("d"), place.alias("place"))
+    stats = rows.groupBy("d").agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x)).alias("norm"), F.min("place").alias("least")).collect()
+    if not stats:
+        return Directory({}, [])
+    tasks = vectors.sparkSession.sparkContext.defaultParallelism
+    blocks = lambda n: min(max(-(-n // BLOCK), min(2 * tasks, -(-n // SMALL_BLOCK))), MOST_PIVOTS)
+    share = F.lit(0.0)
+    for r in stats:  # as many rows as there are lengths
+        share = F.when(F.col("d") == r["d"], F.lit(max(r["least"], blocks(r["n"]) / r["n"]))).otherwise(share)
+    pivots = rows.where(F.col("place") <= share).select("v").distinct().collect()
+    return Directory({r["d"]: r["norm"] for r in stats}, [list(p["v"]) for p in pivots])
+
+
+def trees(placed: DataFrame, norms: dict[int, int]) -> DataFrame:
+    """``(block, part, data)``: the M-tree of each part of a block of ``placed(block, part, vec_id, v)``."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
         points = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        points = np.concatenate([points, np.sqrt(norm - (points**2).sum(1))[:, None]], 1)
-        data = [p.packed() for p in bulk_load(pdf["vec_id"].to_numpy(np.int64), points)]
-        return pd.DataFrame({"block": pdf["block"].iloc[0], "page": np.arange(len(data)), "data": data})
+        tree = Tree.bulk_load(pdf["vec_id"].to_numpy(np.int64), lifted(points, norms[points.shape[1]]))
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "part": pdf["part"].iloc[:1], "data": [tree.packed()]})
 
-    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int"))
-    return dealt.groupBy("block").applyInPandas(build, "block int, page int, data binary")
+    return placed.select("block", "part", "vec_id", "v").groupBy("block", "part").applyInPandas(build, "block int, part int, data binary")
 
 
-def top_products(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: each query's k highest integer inner products over all other rows.
+def _visited(pages: DataFrame, asked: DataFrame, norms: dict[int, int], k: int) -> DataFrame:
+    """``(query, query_id, vec_id, score, away)``: what queries find in the blocks that they visit.
 
-    ``vectors`` and ``queries`` have ``vec_id`` and ``v``, an array of whole numbers of one length.
-    A row is never its own candidate; equal scores rank by the smaller id; with fewer than k other
-    rows all are returned. Rows that repeat an id are candidates each, save for that id's query.
-    Null vectors take no part. Queries visit every block, in groups, so no task holds more than a
-    block and a group; what a block returns is k rows a query.
+    At most about TOGETHER queries visit a part of a block at a time, each such group with a copy of the tree.
     """
-    vectors, queries = (x.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<long>").alias("v")).where("v is not null and vec_id is not null") for x in (vectors, queries))
-    size, norm, dims, low = vectors.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x)), F.max(F.size("v")), F.min(F.size("v"))).first()
-    out = "query_id long, rank int, vec_id long, score long"
-    if not size:
-        return vectors.sparkSession.createDataFrame([], out)
-    if dims != low:
-        raise ValueError("vectors of several lengths")
-    blocks = max(-(-size // block), min(shuffle_partitions(vectors.sparkSession), -(-size // 2_000)))
-    groups = -(-queries.count() // TOGETHER) or 1
-    pages = cut(tree_pages(vectors, dims, norm, blocks))
-    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    left = pages.select("block", every(groups, "group"), "page", "data")
-    right = queries.select(F.col("vec_id").alias("query_id"), "v", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(groups)).cast("int").alias("group"), every(blocks, "block"))
-
-    def visit(tree: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        got = [Page.unpacked(d) for d in tree.sort_values("page")["data"]]
-        rows = []
-        for query, v in zip(asked["query_id"], asked["v"]):
-            q = np.asarray(v, np.float64)
-            own = float((q**2).sum()) + norm
-            near = search(got, np.append(q, 0.0), norm, k, int(query))
+    asked = cut(asked.select("block", "part", "query", "vec_id", "v", "bound"))
+    groups = asked.groupBy("block", "part").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("groups"))
+    left = pages.join(groups, ["block", "part"]).select("block", "part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "data")
+    right = asked.join(F.broadcast(groups), ["block", "part"]).withColumn("group", F.pmod(F.xxhash64("query"), F.col("groups")).cast("int")).drop("groups")
+
+    def visit(tree: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        got = Tree.unpacked(tree["data"].iloc[0])
+        out = []
+        for query, query_id, v, bound in zip(rows["query"], rows["vec_id"], rows["v"], rows["bound"]):
+            q, norm = np.append(np.asarray(v, np.float64), 0.0), norms[len(v)]
+            own = float(q @ q) + norm
             # From distance back to the whole number: |q|^2 + R^2 - 2 q.x.
-            rows += [(query, i, round((own - d * d) / 2)) for d, i in near]
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
+            out += [(query, query_id, i, round((own - d * d) / 2), d) for d, i in got.search(q, norm, k, int(query_id), bound if bound == bound else np.inf)]
+        return pd.DataFrame(out, columns=["query", "query_id", "vec_id", "score", "away"]).astype({"query": "int64", "query_id": "int64", "vec_id": "int64", "score": "int64", "away": "float64"})
+
+    keys = ["block", "part", "group"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(visit, "query long, query_id long, vec_id long, score long, away double")
+
 
-    near = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(visit, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def top_products(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: each query's k highest integer inner products over all other rows.
+
+    ``vectors`` and ``queries`` have ``vec_id`` and ``v``, an array of whole numbers. A row's
+    candidates are the vectors of its own length but for those of its own id; equal scores rank by
+    the smaller id; with fewer than k candidates all are returned. Rows that repeat an id are
+    candidates each, and as queries each has its own k rows. Null vectors and ids take no part, a
+    vector without components scores 0 with others like it. A task holds one part of a block and
+    one group of queries; the driver holds a pivot, a radius and a few counts for each block.
+    """
+    vectors, queries = (x.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<long>").alias("v")).where("v is not null and vec_id is not null") for x in (vectors, queries))
+    known = directory(vectors)
+    if not len(known):
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    # Copies of one vector may fill a block, so large blocks are dealt into parts.
+    located = "vec_id long, v array<long>, block int, away double"
+    placed = cut(vectors.mapInArrow(known.placed, located).withColumn("row", F.monotonically_increasing_id()))
+    known.radii, known.parts = np.zeros(len(known)), np.ones(len(known), np.int64)
+    for r in placed.groupBy("block").agg(F.max("away").alias("radius"), F.count("*").alias("n")).collect():
+        known.radii[r["block"]], known.parts[r["block"]] = r["radius"], -(-r["n"] // BLOCK)
+    parts = F.element_at(F.array(*map(F.lit, known.parts.tolist())), F.col("block") + 1)
+    pages = cut(trees(placed.withColumn("part", F.pmod("row", parts).cast("int")), known.norms))
+
+    # A query whose length no vector has finds nothing.
+    asked = queries.where(F.size("v").isin(list(known.norms))).mapInArrow(known.placed, located).withColumn("query", F.monotonically_increasing_id())
+    asked = cut(asked.withColumn("part", F.pmod("query", parts).cast("int")))
+    first = cut(_visited(pages, asked.withColumn("bound", F.lit(None).cast("double")), known.norms, k))
+    reach = first.groupBy("query").agg(F.sort_array(F.collect_list("away")).alias("away")).select("query", F.get("away", F.lit(k - 1)).alias("bound"))
+    further = asked.join(reach, "query", "left").select("query", "vec_id", "v", "block", "part", "bound")
+    further = further.mapInArrow(known.visits, "query long, vec_id long, v array<long>, bound double, near array<struct<block:int,part:int>>")
+    further = further.select("query", "vec_id", "v", "bound", F.explode("near").alias("at")).select("*", "at.block", "at.part")
+    found = first.union(_visited(pages, further, known.norms, k))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def whole_numbers(rows: DataFrame, column: str = "embedding", scale: int = 64) -> DataFrame:
@@ -182,8 +295,9 @@ def op8_metric_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2]))::BIGINT AS score
-      FROM e q JOIN e c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
-SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p) WHERE rank <= 20
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT row_number() OVER () AS query, vec_id AS query_id, v FROM e WHERE vec_id % 20 = 0),
+p AS (SELECT query, query_id, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])), 0)::BIGINT AS score
+      FROM q JOIN e c ON query_id <> c.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p) WHERE rank <= 20
 """
