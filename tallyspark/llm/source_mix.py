@@ -14,46 +14,46 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import broadcast_if_small, cut, table
 
 #: Tokens of a block, about.
 BLOCK_TOKENS = 100_000
-#: Sources that the driver may weigh.
-MOST_SOURCES = 100_000
+#: Blocks of one source whose order one task works out, about.
+RANGE_BLOCKS = 10_000
+#: Binary digits of the exponent, and how many of them one look at the sources settles.
+DIGITS, AT_ONCE = 50, 5
 
 
-def weights(tokens: list[int], exponent: float) -> list[float]:
-    total = math.fsum(tokens)
-    raised = [(n / total) ** exponent if n else 0.0 for n in tokens]
-    return [r / math.fsum(raised) for r in raised]
-
-
-def entropy(shares: list[float]) -> float:
-    return -math.fsum(p * math.log(p) for p in shares if p > 0)
-
-
-def temper(tokens: list[int], budget: float, lift: float | None = 0.5, most_passes: float | None = 4.0, steps: int = 50) -> tuple[float, list[float]]:
-    """The exponent in [0, 1] and its weights.
+def temper(sources: DataFrame, budget: float, lift: float | None = 0.5, most_passes: float | None = 4.0) -> tuple[float, float]:
+    """The exponent a in [0, 1] for ``sources(p)``, their shares of all tokens, and the sum of p ** a.
 
     ``lift`` sets the target entropy between that of the natural shares (0) and the highest (1).
-    ``most_passes`` then raises the exponent, up to 1, until ``weight * budget`` is at most so many
-    times a source's tokens. Both bounds are met from the side of the natural shares.
+    ``most_passes`` then raises the exponent, up to 1, until no source has a quota of more than so
+    many times its own tokens; ``budget`` is in units of all tokens. Both bounds are met from the
+    side of the natural shares. Bisection looks at the sources where they are, each time at 31
+    exponents that cut the remaining interval evenly, so any number of sources will do.
     """
-    tokens = [n for n in tokens if n]
-    if len(tokens) < 2:
-        return 1.0, weights(tokens, 1.0) if tokens else []
-    natural = entropy(weights(tokens, 1.0))
-    target = natural + (lift if lift is not None else 1.0) * (math.log(len(tokens)) - natural)
+    p = F.col("p")
+    count, natural, least = sources.agg(F.count("*"), -F.sum(p * F.log(p)), F.min(p)).first()
+    if count < 2:
+        return 1.0, 1.0
+    target = natural + (lift if lift is not None else 1.0) * (math.log(count) - natural)
+
+    def good(a: float, total: float, logs: float) -> bool:
+        entropy = math.log(total) - a * logs / total
+        return entropy <= target and (most_passes is None or least ** (a - 1) / total * budget <= most_passes)
 
-    def good(a: float) -> bool:
-        w = weights(tokens, a)
-        return entropy(w) <= target and (most_passes is None or max(p * budget / n for p, n in zip(w, tokens)) <= most_passes)
+    def sums(exponents: list[float]) -> list[tuple[float, float]]:
+        got = sources.agg(*[F.sum(x) for a in exponents for x in (F.pow(p, F.lit(a)), F.pow(p, F.lit(a)) * F.log(p))]).first()
+        return [*zip(got[::2], got[1::2])]
 
-    low, high = 0.0, 1.0
-    for _ in range(steps):
-        middle = (low + high) / 2
-        low, high = (low, middle) if good(middle) else (middle, high)
-    return high, weights(tokens, high)
+    low, step = 0.0, 1.0
+    for _ in range(DIGITS // AT_ONCE):
+        step /= 1 << AT_ONCE
+        tried = [low + k * step for k in range(1, 1 << AT_ONCE)]
+        low += step * sum(not good(a, *s) for a, s in zip(tried, sums(tried)))
+    high = low + step
+    return high, sums([high])[0][0]
 
 
 def token_count(text: Column) -> Column:
@@ -66,6 +66,20 @@ def keyed(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
 
 
+def _before(rows: DataFrame, keys: list[str], order: Column, ranges: Column) -> DataFrame:
+    """``rows`` with ``before``: the sum of ``size`` over the rows of equal keys that come earlier.
+
+    Rows are dealt by ranges of the order, a 32-bit number, so a source of very many blocks is not
+    one window; a range adds the sum of the ranges before it. Equal numbers follow the block.
+    """
+    dealt = rows.withColumn("order", order).withColumn("range", F.floor(F.col("order") / float(1 << 32) * ranges))
+    earlier = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*keys, "range").agg(F.sum("size").alias("in_range")).select(*keys, "range", F.coalesce(F.sum("in_range").over(earlier), F.lit(0)).alias("start"))
+    inside = Window.partitionBy(*keys, "range").orderBy("order", "mix_block").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = dealt.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, [*keys, "range"])
+    return dealt.withColumn("before", F.col("start") + F.col("inside")).drop("order", "range", "start", "inside")
+
+
 def mix_sources(docs: DataFrame, share_of_tokens: float = 1.0, lift: float = 0.5, most_passes: float = 4.0, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per appearance of a document in the mix: the columns of ``docs`` plus ``mix_pass``, ``mix_block``, ``mix_turn``, ``mix_tokens``.
 
@@ -74,48 +88,50 @@ def mix_sources(docs: DataFrame, share_of_tokens: float = 1.0, lift: float = 0.5
     source's sequence: in order of it, every stretch of the mix holds the sources by weight. A null
     source is a source of its own, null and empty texts have no tokens and come along with their
     block (in the rest of a quota: only if the block is taken whole or they come before it ends).
-    Repeated rows are documents each. A source without tokens has weight 0. Other columns pass through, whatever their names.
+    Repeated rows are documents each. A source without tokens has weight 0. There may be any number
+    of sources. Other columns pass through, whatever their names, save for the four new ones and
+    those that start with ``__mix``.
     """
     docs = docs.drop("mix_pass", "mix_block", "mix_turn", "mix_tokens")
-    columns = docs.columns
-    source, number = F.coalesce(F.col(source_col).cast("string"), F.lit("\0")), F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    counted = docs.withColumn("mix_tokens", token_count(F.col(text_col))).withColumn("__source", source)
-    sizes = counted.groupBy("__source").agg(F.sum("mix_tokens").alias("n")).where("n > 0").orderBy("__source").limit(MOST_SOURCES + 1).collect()
-    if len(sizes) > MOST_SOURCES:
-        raise ValueError("too many sources to weigh on the driver")
-    empty = docs.where(F.lit(False)).select(*columns, F.lit(0).alias("mix_pass"), F.lit(0).cast("long").alias("mix_block"), F.lit(0.0).alias("mix_turn"), F.lit(0).cast("long").alias("mix_tokens"))
-    if not sizes:
-        return empty
-    total = sum(r["n"] for r in sizes)
-    budget = share_of_tokens * total
-    _, shares = temper([r["n"] for r in sizes], budget, lift, most_passes)
-    plan = []
-    for r, w in zip(sizes, shares):
-        quota = round(w * budget)
-        plan.append((r["__source"], r["n"], quota // r["n"], quota % r["n"], quota, -(-r["n"] // block_tokens)))
-    plan = F.broadcast(docs.sparkSession.createDataFrame(plan, "__source string, n long, passes long, rest long, quota long, blocks long"))
-    placed = counted.join(plan.select("__source", "blocks"), "__source").withColumn("mix_block", keyed(F.lit("block"), number) % F.col("blocks")).drop("blocks")
+    columns, key = docs.columns, "__mix_source"
+    source = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
+    number = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    counted = docs.withColumn("mix_tokens", token_count(F.col(text_col))).withColumn(key, source)
+    sizes = cut(counted.groupBy(key).agg(F.sum("mix_tokens").alias("n")).where("n > 0"))
+    total = sizes.agg(F.sum("n")).first()[0]
+    if total is None:
+        return docs.where(F.lit(False)).select(*columns, F.lit(0).alias("mix_pass"), F.lit(0).cast("long").alias("mix_block"), F.lit(0.0).alias("mix_turn"), F.lit(0).cast("long").alias("mix_tokens"))
+    shares = sizes.withColumn("p", F.col("n") / F.lit(float(total)))
+    exponent, all_raised = temper(shares.select("p"), share_of_tokens, lift, most_passes)
+    quota = F.rint(F.pow("p", F.lit(exponent)) / all_raised * (share_of_tokens * total)).cast("long")
+    plan = shares.withColumn("quota", quota).withColumn("passes", F.floor(F.col("quota") / F.col("n")).cast("int"))
+    plan = plan.select(key, "n", "quota", "passes", (F.col("quota") - F.col("passes") * F.col("n")).alias("rest"), F.ceil(F.col("n") / block_tokens).alias("blocks"))
+    plan = broadcast_if_small(cut(plan))
+    placed = counted.join(plan.select(key, "blocks"), key).withColumn("mix_block", keyed(F.lit("block"), number) % F.col("blocks")).drop("blocks")
 
     # The schedule: one row per block, its tokens before it in the last pass, and what is left for it.
-    blocks = placed.groupBy("__source", "mix_block").agg(F.sum("mix_tokens").alias("size")).join(plan, "__source")
-    last = Window.partitionBy("__source").orderBy(keyed(F.lit("order"), "__source", "mix_block", "passes"), "mix_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("left", F.col("rest") - F.coalesce(F.sum("size").over(last), F.lit(0)))
+    order = lambda turn: keyed(F.lit("order"), key, "mix_block", turn)
+    ranges = F.ceil(F.col("blocks") / RANGE_BLOCKS)
+    blocks = cut(placed.groupBy(key, "mix_block").agg(F.sum("mix_tokens").alias("size"))).join(plan, key)
+    blocks = _before(blocks, [key], order("passes"), ranges).withColumn("left", F.col("rest") - F.col("before")).drop("before")
     whole = F.when((F.col("left") >= F.col("size")) & (F.col("rest") > 0), 1).otherwise(0)
     blocks = blocks.withColumn("whole", F.col("passes") + whole).withColumn("partly", F.when((F.col("left") > 0) & (F.col("left") < F.col("size")), F.col("left")))
-    each = blocks.where("whole > 0").select("*", F.explode(F.sequence(F.lit(0), (F.col("whole") - 1).cast("int"))).alias("mix_pass"))
-    each = each.select("__source", "mix_block", "mix_pass", "size", "n", "quota", F.lit(None).cast("long").alias("partly"))
-    each = each.union(blocks.where("partly is not null").select("__source", "mix_block", F.col("passes").cast("int").alias("mix_pass"), "size", "n", "quota", "partly"))
-    of_pass = Window.partitionBy("__source", "mix_pass").orderBy(keyed(F.lit("order"), "__source", "mix_block", "mix_pass"), "mix_block").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumn("mix_turn", F.round((F.col("mix_pass") * F.col("n") + F.coalesce(F.sum("size").over(of_pass), F.lit(0))) / F.col("quota"), 6))
-    schedule = each.groupBy("__source", "mix_block").agg(F.collect_list(F.struct("mix_pass", "mix_turn", "partly")).alias("turns"))
-
-    seen = placed.join(schedule, ["__source", "mix_block"])
-    wanted = [*columns, F.col("turn.mix_pass").alias("mix_pass"), "mix_block", F.col("turn.mix_turn").alias("mix_turn"), "mix_tokens"]
-    fully = seen.select("*", F.explode(F.filter("turns", lambda t: t["partly"].isNull())).alias("turn")).select(*wanted)
-    ended = seen.where(F.exists("turns", lambda t: t["partly"].isNotNull())).select("*", F.explode(F.filter("turns", lambda t: t["partly"].isNotNull())).alias("turn"))
-    inside = Window.partitionBy("__source", "mix_block").orderBy(keyed(F.lit("document"), number), F.col(id_col), F.col(text_col)).rowsBetween(Window.unboundedPreceding, 0)
-    partly = ended.withColumn("__so_far", F.sum("mix_tokens").over(inside)).where(F.col("__so_far") <= F.col("turn.partly")).select(*wanted)
-    return fully.union(partly)
+    turn = lambda number, partly: F.struct(number.cast("int").alias("mix_pass"), partly.cast("long").alias("partly"))
+    fully = F.transform(F.when(F.col("whole") > 0, F.sequence(F.lit(0), F.col("whole") - 1)).otherwise(F.array().cast("array<int>")), lambda k: turn(k, F.lit(None)))
+    ends = F.when(F.col("partly").isNotNull(), F.array(turn(F.col("passes"), F.col("partly")))).otherwise(F.array().cast("array<struct<mix_pass:int,partly:bigint>>"))
+    each = blocks.select(key, "mix_block", "size", "n", "quota", "blocks", F.explode(F.concat(fully, ends)).alias("turn")).select("*", "turn.mix_pass", "turn.partly").drop("turn")
+    each = _before(each, [key, "mix_pass"], order("mix_pass"), ranges)
+    each = each.withColumn("mix_turn", F.round((F.col("mix_pass") * F.col("n") + F.col("before")) / F.col("quota"), 6))
+    # A block's turns are as many as its source's passes, which most_passes bounds.
+    schedule = cut(each.groupBy(key, "mix_block").agg(F.collect_list(F.struct("mix_pass", "mix_turn", "partly")).alias("__mix_turns")))
+
+    seen = placed.join(broadcast_if_small(schedule), [key, "mix_block"])
+    wanted = [*columns, F.col("__mix_turn.mix_pass").alias("mix_pass"), "mix_block", F.col("__mix_turn.mix_turn").alias("mix_turn"), "mix_tokens"]
+    taken = lambda test: seen.select("*", F.explode(F.filter("__mix_turns", test)).alias("__mix_turn"))
+    fully, ended = taken(lambda t: t["partly"].isNull()), taken(lambda t: t["partly"].isNotNull())
+    inside = Window.partitionBy(key, "mix_block").orderBy(keyed(F.lit("document"), number), F.col(id_col), F.col(text_col)).rowsBetween(Window.unboundedPreceding, 0)
+    partly = ended.withColumn("__mix_so_far", F.sum("mix_tokens").over(inside)).where(F.col("__mix_so_far") <= F.col("__mix_turn.partly"))
+    return fully.select(*wanted).union(partly.select(*wanted))
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +140,7 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = rf"""
-WITH RECURSIVE d AS (SELECT doc_id, text, source, coalesce(source, chr(1)) AS s, len(regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]+'))::BIGINT AS t FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, text, source, coalesce('s' || source, 'n') AS s, len(regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]+'))::BIGINT AS t FROM documents),
 n AS (SELECT s, sum(t)::BIGINT AS n FROM d GROUP BY s HAVING sum(t) > 0),
 b AS (SELECT sum(n)::DOUBLE AS budget, count(*) AS k, -sum(n / (SELECT sum(n) FROM n) * ln(n / (SELECT sum(n) FROM n))) AS h FROM n),
 a(step, low, high) AS (SELECT 0, 0::DOUBLE, 1::DOUBLE UNION ALL
