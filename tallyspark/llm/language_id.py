@@ -23,7 +23,7 @@ from .sampling import balanced
 
 UNKNOWN = "und"
 #: Words of the documents that one forward-backward pass holds.
-AT_ONCE = 400_000
+AT_ONCE = 200_000
 #: Letters of one position; a longer run of letters becomes several.
 REACH = 40
 #: Stands where a position's run goes on, before it or behind it; no letter.
@@ -45,10 +45,12 @@ def forward_backward(emit: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
         at = starts[: np.searchsorted(-lengths, -(t + 1), "left")] + t
         b = (emit[at + 1] * beta[at + 1]) @ trans.T
         beta[at] = b / b.sum(1, keepdims=True)
+    if not pairs:
+        alpha *= beta
+        alpha /= alpha.sum(1, keepdims=True)
+        return alpha, None
     post = alpha * beta
     post /= post.sum(1, keepdims=True)
-    if not pairs:
-        return post, None
     inner = np.ones(len(emit), bool)
     inner[starts + lengths - 1] = False
     at = np.flatnonzero(inner)
@@ -104,9 +106,6 @@ class WordField:
         rows = self.rows
         return np.array([rows[f] for f in affixes(word, self.lexicon) if f in rows], np.int64)
 
-    def score(self, word: str) -> np.ndarray:
-        return self.weights[self.features(word)].sum(0)
-
     @classmethod
     def fit(cls, spans: list[tuple[list[str], str]], epochs: int = 6, seed: int = 5, rate: float = 0.2, decay: float = 1e-5) -> WordField:
         """Maximum likelihood by AdaGrad on chains that string spans of different documents together."""
@@ -171,16 +170,26 @@ class Labeller:
         try:
             at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         except KeyError:
-            for w in words:
-                if w not in self.number:
-                    s = self.field.score(w)
-                    if len(self.number) == len(self.scores):
-                        self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-                    self.scores[len(self.number)] = np.exp(s - s.max()) + 1e-12
-                    self.number[w] = len(self.number)
+            new = [w for w in dict.fromkeys(words) if w not in self.number]
+            for k in range(0, len(new), 5_000):
+                self.learn(new[k : k + 5_000])
             at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         return self.scores[at]
 
+    def learn(self, words: list[str]) -> None:
+        """Score words that are not known yet, all at once."""
+        rows, lexicon, have = self.field.rows, self.field.lexicon, len(self.number)
+        found = [[k for f in affixes(w, lexicon) if (k := rows.get(f)) is not None] for w in words]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        sums = np.zeros((len(words), len(self.field.labels)))
+        if sizes.any():
+            starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+            sums[sizes > 0] = np.add.reduceat(self.field.weights[np.fromiter(itertools.chain.from_iterable(found), np.int64, int(sizes.sum()))], starts)
+        while have + len(words) > len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+        self.scores[have : have + len(words)] = np.exp(sums - sums.max(1, keepdims=True)) + 1e-12
+        self.number.update(zip(words, range(have, have + len(words))))
+
     def posteriors(self, texts: list[str | None]) -> Iterator[tuple[int, list[str], np.ndarray]]:
         """For each text with a letter: its place, words and their posteriors. Memory is bounded by AT_ONCE words or one text."""
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i] or ""))
@@ -190,10 +199,10 @@ class Labeller:
             if held and (i is None or size >= AT_ONCE):
                 held.sort(key=lambda x: -len(x[1]))
                 lengths = np.array([len(w) for _, w in held])
-                if len(self.number) > 400_000:
+                if len(self.number) > 150_000:
                     self.number.clear()
                     self.scores = np.zeros((1024, len(self.field.labels)))
-                emit = np.concatenate([self.emissions(w) for _, w in held])
+                emit = self.emissions([*itertools.chain.from_iterable(w for _, w in held)])
                 starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 post, _ = forward_backward(emit, starts, lengths, self.trans)
                 for (j, w), s, n in zip(held, starts, lengths):
@@ -221,14 +230,15 @@ def _spans(span_words: int, spans: int):
     return run
 
 
-def fit_language_field(labelled: DataFrame, per_label: int = 300, span_words: int = 18, spans: int = 14) -> WordField | None:
+def fit_language_field(labelled: DataFrame, per_label: int = 300, span_words: int = 18, spans: int = 14, most_rows: int = 6_000) -> WordField | None:
     """Train on ``labelled(doc_id, text, label)``; None if no row has a label and a letter.
 
-    The sample is bounded: about ``per_label`` rows of each label, and ``spans`` stretches of
-    ``span_words`` words from anywhere in the whole text of each. Tasks draw them, so whole texts
-    never meet in the driver.
+    The sample is bounded: about ``per_label`` rows of each label, or fewer where ``most_rows``
+    would not hold so many of every label, and ``spans`` stretches of ``span_words`` words from
+    anywhere in the whole text of each. Every label has a row, however many there are. Tasks draw
+    the stretches, so whole texts never meet in the driver.
     """
-    rows = balanced(labelled.where("text is not null and label is not null"), "label", per_label)
+    rows = balanced(labelled.where("text is not null and label is not null"), "label", per_label, most_rows)
     got = rows.select("place", "label", "text").mapInArrow(_spans(span_words, spans), "place double, label string, spans array<array<string>>").collect()
     out = [(span, r["label"]) for r in sorted(got, key=lambda r: (r["label"], r["place"], r["spans"])) for span in r["spans"]]
     return WordField.fit(out) if out else None

@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import broadcast_if_small, cut
+
 
 def place():
     """A row's place in the sampling order, from 0 to 1."""
     return F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 32)) / float(1 << 32)
 
 
-def balanced(rows: DataFrame, label: str, per_label: int, most_labels: int = 256) -> DataFrame:
+def balanced(rows: DataFrame, label: str, per_label: int, most_rows: int) -> DataFrame:
     """About ``per_label`` rows of each label of ``rows(doc_id, label, ...)``, chosen by hash of the id.
 
-    One count per label goes to the driver; if there are more labels than ``most_labels``, the
-    most frequent are taken. Each label's rows under its share of the hash range form the sample.
+    Each label's rows under its share of the hash range form the sample, and the label's first
+    row in any case. With so many labels that about ``most_rows`` rows would not do, each has
+    fewer rows, but every label has one. Counts meet their rows in a join, however many labels
+    there are.
     """
-    counts = rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(most_labels).collect()
-    if not counts:
-        return rows.where(F.lit(False)).withColumn("place", F.lit(0.0))
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(label) == F.lit(r[label]), F.lit(min(1.0, per_label / r["n"]))).otherwise(share)
-    return rows.withColumn("place", place()).where(F.col("place") < share)
+    placed = rows.where(F.col(label).isNotNull()).withColumn("place", place())
+    counts = cut(placed.groupBy(label).agg(F.count("*").alias("__n"), F.min("place").alias("__least")))
+    per = max(1, min(per_label, most_rows // max(1, counts.count())))
+    taken = placed.join(broadcast_if_small(counts), label).where(F.col("place") <= F.greatest("__least", F.lit(float(per)) / F.col("__n")))
+    return taken.select(*rows.columns, "place")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Remembered, crc_mod, table
+from .common import Remembered, broadcast_if_small, crc_mod, cut, table
 from .sampling import balanced
 
 WORD = re.compile(r"[^\W_]+")
@@ -108,15 +108,17 @@ def _word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_toxicity(labelled: DataFrame, texts: DataFrame, per_label: int = 1200) -> ScaledLinear | None:
     """Train on ``labelled(doc_id, label)`` with the texts of those ids; None without both labels.
 
-    The sample is bounded: the whole texts of about ``per_label`` ids of each label, of which the
-    driver gets the distinct words. Where an id has several labels, the largest counts.
+    The sample is bounded: the whole texts of about ``per_label`` ids of each label, chosen by hash
+    of the id, of which the driver gets the distinct words. Where an id has several labels, the
+    largest counts; rows that repeat an id with other texts each count.
     """
     rows = labelled.where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     total = rows.agg(F.avg("label")).first()[0]
     if total is None or total in (0.0, 1.0):
         return None
-    sample = rows.sparkSession.createDataFrame(balanced(rows, "label", per_label).select("doc_id", "label", "place").limit(4 * per_label).collect(), "doc_id long, label int, place double")
-    got = texts.join(F.broadcast(sample), "doc_id").select("label", "place", "text").mapInArrow(_word_lists, "label int, place double, words array<string>").limit(8 * per_label).collect()
+    sample = cut(balanced(rows, "label", per_label, 2 * per_label).select("doc_id", "label", "place"))
+    found = texts.join(broadcast_if_small(sample), "doc_id").select("label", "place", "text")
+    got = found.mapInArrow(_word_lists, "label int, place double, words array<string>").collect()
     got.sort(key=lambda r: (r["place"], r["words"]))
     return ScaledLinear.fit([set(r["words"]) for r in got], [r["label"] for r in got], total)
 
@@ -129,7 +131,7 @@ def score_toxicity(docs: DataFrame, model: ScaledLinear | None, id_col: str = "d
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Remembered(model.known, 300_000) if model else {}
+        known = Remembered(model.known, 100_000) if model else {}
         rows_of = lambda w: known[w] if len(w) <= LONG else model.known(w)
         for batch in batches:
             scores = np.zeros(batch.num_rows)
