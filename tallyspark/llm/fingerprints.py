@@ -5,7 +5,8 @@ name; the names are cut again, level by level. The rule is deterministic coin to
 tag says in which lowest bit it differs from its left neighbour, and of what kind that bit is;
 tags of neighbours differ again, so after a few rounds they come from a handful of values, and
 local maxima of the tags start phrases. Equal substrings are cut equally inside, wherever they
-stand. A fingerprint keeps the least hashes of the phrase names of one level.
+stand. A fingerprint keeps the least hashes of the phrase names of the highest level, and of a
+short text those of the lower levels too, level by level.
 """
 
 from __future__ import annotations
@@ -23,8 +24,11 @@ from .common import shuffle_partitions, table
 
 #: Levels of phrases; a phrase of level 3 spans some thirty characters.
 LEVELS = 3
-#: Phrase names that a fingerprint keeps, 32 bits each.
-KEPT = 64
+#: Phrase names of a level that a fingerprint keeps, 32 bits each.
+KEPT = 128
+#: Texts of fewer code points keep all levels, and two fingerprints are compared at the highest level
+#: of which both have so many names.
+SHORT, ENOUGH = 2_000, 12
 #: Characters that are parsed at a time.
 AT_ONCE = 1 << 18
 
@@ -109,14 +113,16 @@ def level_up(names: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return mixed(sums(mixed(names + salt[place]), at)), owner[at]
 
 
-def parse(texts: list[str], levels: int = LEVELS) -> list[np.ndarray]:
-    """For each text the names of its phrases of the last level, in order."""
+def parse(texts: list[str], levels: int = LEVELS) -> list[list[np.ndarray]]:
+    """For each level, from the first, the phrase names of every text in order."""
     data = "".join(texts).encode("utf-32-le", "surrogatepass")
     names = mixed(np.frombuffer(data, np.uint32).astype(np.uint64) + np.uint64(1))
     owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    out = []
     for _ in range(levels):
         names, owner = level_up(names, owner)
-    return np.split(names, np.searchsorted(owner, np.arange(1, len(texts)))) if texts else []
+        out.append(np.split(names, np.searchsorted(owner, np.arange(1, len(texts)))) if texts else [])
+    return out
 
 
 def sketch(names: np.ndarray, kept: int = KEPT) -> np.ndarray:
@@ -124,39 +130,50 @@ def sketch(names: np.ndarray, kept: int = KEPT) -> np.ndarray:
     return np.unique((mixed(names) >> np.uint64(32)).astype(np.uint32))[:kept]
 
 
-def written(s: np.ndarray) -> str:
-    return s.astype(">u4").tobytes().hex()
+def written(sketches: list[np.ndarray]) -> str:
+    """The sketches from the highest level down, with a dot between levels."""
+    return ".".join(s.astype(">u4").tobytes().hex() for s in sketches)
+
 
+def read(fingerprint: str) -> list[np.ndarray]:
+    return [np.frombuffer(bytes.fromhex(part), ">u4").astype(np.uint32) for part in fingerprint.split(".")]
 
-def read(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(fingerprint), ">u4").astype(np.uint32)
 
+def likeness(a: list[np.ndarray], b: list[np.ndarray], kept: int = KEPT) -> float:
+    """Estimated Jaccard similarity of the phrase sets; 1 for two texts without phrases.
 
-def likeness(a: np.ndarray, b: np.ndarray, kept: int = KEPT) -> float:
-    """Estimated Jaccard similarity of the phrase sets; 1 for two texts without phrases."""
-    if not len(a) and not len(b):
+    The highest level counts of which both texts have ENOUGH names, or else the lowest that both keep.
+    """
+    level = next((k for k, (x, y) in enumerate(zip(a, b)) if min(len(x), len(y)) >= ENOUGH), min(len(a), len(b)) - 1)
+    x, y = a[level], b[level]
+    if not len(x) and not len(y):
         return 1.0
-    both = np.union1d(a, b)
-    if max(len(a), len(b)) >= kept:  # beyond the least names a full sketch knows nothing
+    both = np.union1d(x, y)
+    if max(len(x), len(y)) >= kept:  # beyond the least names a full sketch knows nothing
         both = both[:kept]
-    return float(len(np.intersect1d(np.intersect1d(a, b, True), both, True)) / len(both))
+    return float(len(np.intersect1d(np.intersect1d(x, y, True), both, True)) / len(both))
+
+
+def fingerprints(texts: list[str]) -> list[list[np.ndarray]]:
+    out: list[list[np.ndarray]] = []
 
+    def add(held: list[str]) -> None:
+        levels = parse(held)
+        out.extend([sketch(names[k]) for names in levels[:: -1 if len(t) < SHORT else -len(levels)]] for k, t in enumerate(held))
 
-def fingerprints(texts: list[str]) -> list[np.ndarray]:
-    out: list[np.ndarray] = []
-    held: list[str] = []
-    size = 0
+    held, size = [], 0
     for t in texts:
         held.append(t)
         size += len(t)
         if size >= AT_ONCE:
-            out += map(sketch, parse(held))
+            add(held)
             held, size = [], 0
-    return out + [sketch(n) for n in parse(held)]
+    add(held)
+    return out
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fingerprint)`` of every whole text; a null text counts as empty and has an empty fingerprint."""
+    """``(doc_id, fingerprint)`` of every whole text; a null text counts as empty, whose fingerprint has no names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,36 +186,38 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def with_next(docs: DataFrame, parts: int | None = None) -> tuple[DataFrame, int]:
     """Rows of ``docs(doc_id, text)`` dealt into ranges of falling id, each range with the row after its last.
 
-    Returns ``(part, guest, doc_id, text)`` and the number of ranges. One scan of the ids finds
-    the borders and another the first id of each range; those ids, one a range, are all the driver
-    holds. A range's guest row is the first of the next range, the last range's that of the first.
+    Returns ``(part, guest, doc_id, tie, text)`` and the number of ranges. Scans find the borders,
+    the count of null ids and the first row of each range; of these the driver holds one a range.
+    ``tie`` is a hash of the text and orders rows of one id: an id that fills several ranges by its
+    repeats is dealt among them by it, and so are rows without an id, which come last. A range's
+    guest is the first row of the next range, the last range's that of the first.
     """
     parts = parts or 4 * shuffle_partitions(docs.sparkSession)
-    borders = np.array(sorted({int(b) for b in docs.where("doc_id is not null").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts)}), np.int64)
-
-    @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(len(borders) - np.searchsorted(borders, ids.to_numpy(np.int64), "right"))
-
-    known = F.coalesce("doc_id", F.lit(0))
-    placed = docs.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(len(borders))).otherwise(part_of(known)))
-    heads = {r["part"]: r["head"] for r in placed.groupBy("part").agg(F.max("doc_id").alias("head")).collect()}
-    order = sorted(heads)
-    before = {heads[p]: order[k - 1] for k, p in reversed([*enumerate(order)])}  # by head the range before its own, in a circle
-    at_null = before.pop(None, None)
-    firsts = np.array(sorted(before), np.int64)
-    seats = np.array([before[h] for h in firsts.tolist()], np.int64)
+    rows, nulls = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    shares = [k / parts for k in range(1, parts)]
+    borders = np.array(sorted(int(b) for b in docs.where("doc_id is not null").approxQuantile("doc_id", shares, 0.2 / parts)) if shares else [], np.int64)
+    hot = sorted({int(b) for b, n in zip(*np.unique(borders, return_counts=True)) if n > 1})
+    null_parts = max(1, -(-nulls * parts // max(1, rows)))
 
     @F.pandas_udf("int")
-    def guest_seat(ids: pd.Series) -> pd.Series:
-        ids = ids.to_numpy(np.int64)
-        at = np.minimum(np.searchsorted(firsts, ids), max(0, len(firsts) - 1))
-        return pd.Series(np.where(firsts[at] == ids, seats[at], -1) if len(firsts) else np.full(len(ids), -1))
-
-    guest_of = F.when(F.col("doc_id").isNull(), F.lit(at_null).cast("int")).otherwise(F.nullif(guest_seat(known), F.lit(-1)))
-    seat = lambda p, g: F.struct(p.cast("int").alias("part"), F.lit(g).alias("guest"))
-    rows = placed.withColumn("guest_of", guest_of).select("doc_id", "text", F.explode(F.when(F.col("guest_of").isNull(), F.array(seat(F.col("part"), False))).otherwise(F.array(seat(F.col("part"), False), seat(F.col("guest_of"), True)))).alias("seat"))
-    return rows.select("seat.part", "seat.guest", "doc_id", "text"), len(order)
+    def part_of(ids: pd.Series, ties: pd.Series) -> pd.Series:
+        own = ids.to_numpy(np.int64)
+        right = np.searchsorted(borders, own, "right")
+        spread = np.where(np.isin(own, hot), right - np.searchsorted(borders, own, "left") + 1, 1)
+        return pd.Series(len(borders) - right + (ties.to_numpy(float) * spread).astype(np.int64))
+
+    placed = docs.withColumn("tie", F.pmod(F.xxhash64("text"), F.lit(1 << 32)) / float(1 << 32))
+    at_null = (F.floor(F.col("tie") * null_parts) + len(borders) + 1).cast("int")
+    placed = placed.withColumn("part", F.when(F.col("doc_id").isNull(), at_null).otherwise(part_of(F.coalesce("doc_id", F.lit(0)), "tie")))
+    heads = placed.groupBy("part").agg(F.max_by(F.struct("doc_id", "tie"), F.struct(F.col("doc_id").isNotNull(), "doc_id", -F.col("tie"))).alias("head")).collect()
+    order = sorted(r["part"] for r in heads)
+    before = {p: order[k - 1] for k, p in enumerate(order)}  # the range before, in a circle
+    seats = docs.sparkSession.createDataFrame([(r["head"]["doc_id"], r["head"]["tie"], r["part"], before[r["part"]]) for r in heads], "doc_id long, tie double, part int, seat int")
+    # Of rows that tie for a range's first place the one of the least text is its first row.
+    firsts = placed.alias("row").join(F.broadcast(seats.alias("head")), (F.col("row.part") == F.col("head.part")) & F.equal_null(F.col("row.doc_id"), F.col("head.doc_id")) & (F.col("row.tie") == F.col("head.tie")))
+    guests = firsts.groupBy(F.col("head.seat").alias("part")).agg(F.min("row.text").alias("text"))
+    guests = guests.select("part", F.lit(True).alias("guest"), F.lit(None).cast("long").alias("doc_id"), F.lit(0.0).alias("tie"), "text")
+    return placed.select("part", F.lit(False).alias("guest"), "doc_id", "tie", "text").union(guests), len(order)
 
 
 def edited_pairs(rows: Iterator[tuple[int, bool, int | None, str]]) -> Iterator[tuple[int | None, str, str]]:
@@ -219,14 +238,14 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     The edited text is the text with its last floor(n / 2) code points replaced by the first as
     many (or all) of the next document in order of falling id; the last is followed by the first.
-    A null text counts as empty. Of rows that repeat an id the order is that of their texts; rows
-    with a null id come last. A single row is its own next. Other columns are not read.
+    A null text counts as empty. Rows that repeat an id follow each other by a hash of the text and
+    then by the text, and so do rows with a null id, which come last. A single row is its own
+    next. Other columns are not read.
     """
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     seated, parts = with_next(texts)
     spread = max(parts, shuffle_partitions(docs.sparkSession))
-    # Equal heads are guests once each; the first in order is the one that follows.
-    seated = seated.repartition(spread, "part").sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), "text")
+    seated = seated.repartition(spread, "part").sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), "tie", "text").drop("tie")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = [x.split()[0] for x in schema.split(", ")]
 

@@ -1,6 +1,6 @@
 """License scan: an exact set-similarity join of text blocks with license templates, in DataFrame operations.
 
-A text's blocks are windows of ``BLOCK`` words, one every ``BLOCK / 2`` words. A block matches a
+A text's blocks are windows of ``BLOCK`` words, or of more for longer templates, one every half block. A block matches a
 template when it holds at least ``percent`` of the template's distinct words. Template words are
 put in one global order, rare in the corpus before frequent. A matching block then holds one of
 the few first words of the template in this order (prefix filter), has enough template words at
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Words of a block; no template is longer than half of it.
+#: Words of a block at least; it grows until no template is longer than half of it.
 BLOCK = 64
 #: What separates words, as a class of Java and RE2.
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -60,7 +60,6 @@ class Template:
 
 def templates(base: dict[str, str] = BASE, extra: dict[str, str] = TEMPLATES) -> list[Template]:
     out = [Template(tuple(k.split()), v, True) for k, v in base.items()] + [Template(tuple(k.split()), v, False) for k, v in extra.items()]
-    assert all(len(t.words) <= BLOCK // 2 for t in out)
     return out
 
 
@@ -100,15 +99,15 @@ def scan_licenses(docs: DataFrame, percent: int = 80, known: list[Template] | No
     first_words = sorted({r[0] for r in rows})
     ranks_of = F.create_map(*[F.lit(x) for w in order for x in (w, rank[w])]) if order else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
 
-    half = BLOCK // 2
+    half = max([BLOCK // 2, *(len(t.words) for t in known)])
     counted = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("words"))
     hits = F.filter(F.transform("words", lambda w, i: F.when(w.isin(first_words), i)), lambda i: i.isNotNull())
     # A hit lies in the block that starts at its half block and in the one before; a text with none keeps one empty block.
     starts = F.array_distinct(F.flatten(F.transform(hits, lambda i: F.array(F.greatest(F.lit(0), (F.floor(i / half) - 1) * half), F.floor(i / half) * half))))
     blocks = counted.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), "words", starts.alias("starts"))
-    blocks = blocks.select("row", "doc_id", "n_words", F.explode_outer(F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice("words", (s + 1).cast("int"), BLOCK).alias("words")))).alias("block"))
+    blocks = blocks.select("row", "doc_id", "n_words", F.explode_outer(F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice("words", (s + 1).cast("int"), 2 * half).alias("words")))).alias("block"))
     blocks = blocks.select("row", "doc_id", "n_words", "block.start", F.col("block.words").alias("words"))
-    blocks = blocks.withColumn("held", F.array_sort(F.array_distinct(F.filter(F.transform("words", lambda w: F.element_at(ranks_of, w)), lambda r: r.isNotNull()))))
+    blocks = blocks.withColumn("held", F.array_sort(F.array_distinct(F.filter(F.transform(F.filter("words", lambda w: w.isin(order)), lambda w: F.element_at(ranks_of, w)), lambda r: r.isNotNull()))))
     # The join: prefix, length and positional filters, then exact containment; rows without a partner stay.
     met = blocks.select("*", F.explode_outer(F.array_intersect("words", F.lit(first_words).cast("array<string>"))).alias("token")).join(prefixes, "token", "left")
     at = F.array_position("held", F.element_at("ranks", F.col("place") + 1)) - 1
