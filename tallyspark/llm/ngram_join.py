@@ -51,7 +51,7 @@ class Shingler:
 
     def __init__(self, words: int):
         self.n = words
-        self.hash = Remembered(xxhash.xxh64_intdigest, 300_000)
+        self.hash = Remembered(xxhash.xxh64_intdigest, 100_000)
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Sorted distinct hashes; a text shorter than n words is one n-gram, an empty one none."""
