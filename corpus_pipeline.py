@@ -6,16 +6,16 @@ of ``documents``: doc_id, text, lang, source, n_chars.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.llm.common import lean_batches, shared_folder
 from tallyspark.llm.language_id import UNKNOWN, identify_along, trained_on
 from tallyspark.llm.ngram_join import near_duplicates
 from tallyspark.llm.source_mix import mix_sources
-from tallyspark.llm.surrogates import replace_entities
+from tallyspark.llm.surrogates import TEST_KEY, replace_entities
 from tallyspark.llm.word_bpe import encode_documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,6 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The field is trained on the stage's own input. Without any label nothing can be learned, and
     then every document with a letter stays as it is.
     """
+    lean_batches(spark)
     field = trained_on(docs)
     if field is None:
         return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}")).select(*COLUMNS)
@@ -42,6 +43,7 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Empty texts link with nothing and stay; of rows that repeat the kept id, all with that id stay.
     """
+    lean_batches(spark)
     groups = near_duplicates(docs)
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
@@ -49,7 +51,8 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; its personal data become surrogates, and ``n_chars`` is counted anew."""
-    return replace_entities(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    lean_batches(spark)
+    return replace_entities(docs.select(*COLUMNS), TEST_KEY).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,6 +64,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document's ids and decoded text."""
     import public_tokenizers
 
+    lean_batches(spark)
     return encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -78,8 +82,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
