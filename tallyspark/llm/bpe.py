@@ -11,6 +11,7 @@ import json
 import re
 import sys
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 
 #: Takes the place of a vocabulary's end-of-word suffix, as one character.
@@ -43,23 +44,22 @@ class Letters:
     def __init__(self):
         from tokenizers import Regex, normalizers, pre_tokenizers
 
-        kinds = {c: unicodedata.category(chr(c)) for c in range(sys.maxunicode + 1)}
-        # Planes 4 to 13 are empty in every version of Unicode.
-        unknown = "".join(chr(c) for c, kind in kinds.items() if kind == "Cn" and not 0x40000 <= c < 0xE0000)
+        # Planes 4 to 13 are empty in every version of Unicode, and the last two are private.
+        points = (*range(0x40000), *range(0xE0000, 0xF0000))
+        unknown = "".join(c for c in map(chr, points) if unicodedata.category(c) == "Cn")
         runs = lambda kind: (run for run, _ in pre_tokenizers.Split(Regex(f"[^\\p{{{kind}}}]+"), "removed").pre_tokenize_str(unknown))
-        self.newer = {kind: "".join(runs(kind)) for kind in "LN"}
+        self.newer = {kind: frozenset("".join(runs(kind))) for kind in "LN"}
         lowered = normalizers.Lowercase().normalize_str("\n".join(unknown)).split("\n")
         self.lower = {c: x for c, x in zip(unknown, lowered) if x != c}
         self.composed = normalizers.NFC().normalize_str
         # Decompositions and the order of marks, as far as Python knows the code points.
         apart = normalizers.NFD().normalize_str
-        taken = [chr(c) for c, kind in kinds.items() if kind not in ("Cn", "Cs", "Co") and c != 0x0A]
-        tried = [c for c in taken if unicodedata.decomposition(c)]
-        marks = [c for c in taken if kinds[ord(c)][0] == "M"]
+        marks = [c for c in map(chr, points) if unicodedata.category(c)[0] == "M"]
+        tried = [c for c in map(chr, points) if unicodedata.decomposition(c)]
         tried += [x for c in marks for near in "\u0334\u0327\u0323\u0301" for x in (f"a{c}{near}", f"a{near}{c}")]
         same = lambda x, y: y == unicodedata.normalize("NFD", x)
         differ = {c for x, y in zip(tried, apart("\n".join(tried)).split("\n")) if not same(x, y) for c in x + unicodedata.normalize("NFD", x)}
-        plain = {c for c in differ if not kinds[ord(c)].startswith("M") and c.isascii()} | set("\u0334\u0327\u0323\u0301")
+        plain = {c for c in differ if c.isascii()} | set("\u0334\u0327\u0323\u0301")
         points = sorted({*map(ord, differ - plain), *map(ord, unknown)})
         # As in Pieces: a class without astral points is a bitmap.
         self.odd, self.odd_astral = (re.compile(f"[{spans([p for p in points if p <= last])}]") for last in (0xFFFF, sys.maxunicode))
@@ -69,8 +69,8 @@ class Letters:
         return (self.odd if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else self.odd_astral).search(text) is not None
 
 
-def spans(points: list[int]) -> str:
-    """Sorted code points as ranges for a class of ``re``."""
+def spans(points: Iterable[int]) -> str:
+    """Rising code points as ranges for a class of ``re``."""
     ranges: list[list[int]] = []
     for point in points:
         if ranges and ranges[-1][1] == point - 1:
@@ -88,14 +88,8 @@ def letters() -> Letters:
 @lru_cache(maxsize=2)
 def classes(last: int = sys.maxunicode) -> dict[str, str]:
     """Letters, numbers and white space of Unicode, up to a code point, as ranges for a class of ``re``."""
-    newer = {kind: {*map(ord, letters().newer[kind])} for kind in "LN"}
-    points: dict[str, list[int]] = {"L": [], "N": []}
-    for point in range(last + 1):
-        kind = unicodedata.category(chr(point))[0]
-        for name in points:
-            if kind == name or point in newer[name]:
-                points[name].append(point)
-    out = {k: spans(v) for k, v in points.items()}
+    newer = letters().newer
+    out = {kind: spans(p for p in range(last + 1) if unicodedata.category(chr(p))[0] == kind or chr(p) in newer[kind]) for kind in "LN"}
     return out | {"S": "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"}
 
 
