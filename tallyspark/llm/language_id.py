@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from .bpe import Pieces
-from .common import crc_mod, table
+from .common import crc_mod, give_back, table
 from .sampling import balanced
 
 UNKNOWN = "und"
@@ -217,6 +217,7 @@ def _spans(span_words: int, spans: int):
     """From batches of (place, label, text): stretches of words drawn from each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         find = Pieces("[{L}]+")
         for batch in batches:
             drawn = []
@@ -248,6 +249,7 @@ def _labelled(field: WordField | None, word_labels: bool):
     """From batches of (text, anything): predictions beside both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         labeller = Labeller(field) if field else None
         for batch in batches:
             texts = batch.column(0).to_pylist()

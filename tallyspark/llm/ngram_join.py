@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Remembered, broadcast_if_small, cut, table
+from .common import Remembered, broadcast_if_small, cut, give_back, table
 from .components import smallest_of
 
 #: Most elements in the table of frequent n-grams that is sent to the tasks (16 bytes each).
@@ -74,6 +74,7 @@ def _measure(words: int):
     """Size and digest of each set, and n-grams that a task meets in at least three documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         shingles, names = Shingler(words), ["doc_id", "n", "sig", "token", "seen"]
         marks, met = np.zeros(MARKS, np.uint8), 0
         held: list[np.ndarray] = []
@@ -113,6 +114,7 @@ def _prefixes(words: int, percent: int, tokens: np.ndarray, seen: np.ndarray):
     """The prefix of each set in the global order: frequent n-grams last, others by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         shingles = Shingler(words)
         for batch in batches:
             n, sig, whole, prefix, splits = [], [], [], [], []
@@ -139,6 +141,7 @@ def _whole_sets(words: int):
     """From (a, b, text): the text's set, under the pair it is wanted for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         shingles = Shingler(words)
         for batch in batches:
             last, sets = (None, shingles(None)), []
@@ -314,19 +317,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     tried = cut(_star(shared.withColumn("label", F.col("id")), bounds, 0).union(of_leader).distinct())
     links = _verified(tried, named, texts, words, percent)
 
-    def placed() -> tuple[DataFrame, DataFrame]:
+    def placed(components: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Postings and members with their present component; a group that lies in several has a label of its own."""
-        found = broadcast_if_small(smallest_of(links).select(F.col("node").alias("id"), "component"))
+        found = broadcast_if_small(components.select(F.col("node").alias("id"), "component"))
         inside = cut(members.join(found, "id", "left").select("leader", "id", F.coalesce("component", "id").alias("label")))
         split = inside.groupBy(F.col("leader").alias("id")).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("id", F.lit(True).alias("split"))
         rows = shared.join(found, "id", "left").join(broadcast_if_small(cut(split)), "id", "left")
         return rows.select(*shared.columns, F.when(F.col("split"), -1 - F.col("id")).otherwise(F.coalesce("component", "id")).alias("label")), inside
 
-    more = cut(_star(placed()[0], bounds, 1).join(tried.hint("merge"), ["a", "b"], "left_anti"))
-    tried, links = cut(tried.union(more)), cut(links.union(_verified(more, named, texts, words, percent)))
+    def joined(components: DataFrame, new: DataFrame) -> DataFrame:
+        """Components with more links; each old one is a link of its nodes to its name."""
+        return components if new.isEmpty() else smallest_of(components.select(F.col("component").alias("a"), F.col("node").alias("b")).union(new))
+
+    parts = smallest_of(links)
+    more = cut(_star(placed(parts)[0], bounds, 1).join(tried.hint("merge"), ["a", "b"], "left_anti"))
+    tried, parts = cut(tried.union(more)), joined(parts, _verified(more, named, texts, words, percent))
 
     # The exact round: group pairs that meet in lists of several components, then their members.
-    rows, inside = placed()
+    rows, inside = placed(parts)
     first = F.col("x.id") < F.col("y.id")
     pairs = _met(_apart(rows, "token", bounds), "token").where(bounds.worthwhile("x", "y"))
     ends = lambda c: (F.when(first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")).alias(f"a_{c}"), F.when(first, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")).alias(f"b_{c}"))
@@ -343,21 +351,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = cut(pairs.join(done.hint("merge"), ["a", "b"], "left_anti"))
     for best in (True, False):
-        found = broadcast_if_small(smallest_of(links).select("node", "component"))
+        found = broadcast_if_small(parts.select("node", "component"))
         at = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))  # noqa: E731, B023
         left = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").select("a", "b", "lists", F.coalesce("a_in", "a").alias("u"), F.coalesce("b_in", "b").alias("v")).where("u <> v")
         if best:
             left = left.groupBy(F.least("u", "v"), F.greatest("u", "v")).agg(F.max(F.struct("lists", "a", "b")).alias("top")).select("top.a", "top.b")
         left = cut(left.select("a", "b").distinct())
         if not left.isEmpty():
-            links = cut(links.union(_verified(left, named, texts, words, percent)))
+            parts = joined(parts, _verified(left, named, texts, words, percent))
         if best:
             pairs = pairs.join(left.hint("merge"), ["a", "b"], "left_anti")
 
     keyed = cut(sizes.join(named, ["n", "sig"], "left").select("doc_id", F.col("n").alias("n_shingles"), "id", "rep"))
     # Rows of one id with different texts count as linked.
     again = keyed.where("doc_id is not null and id is not null").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("doc_id", "a")
-    found = smallest_of(links.union(keyed.join(broadcast_if_small(cut(again)), "doc_id").select("a", F.col("id").alias("b"))))
+    found = joined(parts, cut(keyed.join(broadcast_if_small(cut(again)), "doc_id").select("a", F.col("id").alias("b")).where("a <> b")))
     smallest = found.join(named, found.node == named.id).groupBy("component").agg(F.min("rep").alias("component_id"))
     placed_ids = broadcast_if_small(cut(found.join(smallest, "component").select(F.col("node").alias("id"), "component_id")))
     return keyed.join(placed_ids, "id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "rep", "doc_id").alias("component_id"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import cut, shuffle_partitions, table
+from .common import cut, give_back, shuffle_partitions, table
 
 #: Redrawn entities that the driver may hold and send to the tasks; more are joined to their texts.
 HELD = 50_000
@@ -324,6 +324,7 @@ def _distinct(docs: DataFrame) -> DataFrame:
     """Distinct ``(kind, value)`` of all texts, values in canonical form; each task drops its own repeats first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         seen: set[tuple[str, str]] = set()
         for batch in batches:
             new = {(k, canonical(k, v)) for t in batch.column(0).to_pylist() for _, _, k, v in entities(t)} - seen
@@ -335,6 +336,7 @@ def _distinct(docs: DataFrame) -> DataFrame:
 
 def _drawn(rows: DataFrame, key: bytes, attempt: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             kinds, values = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([surrogate(k, v, key, attempt) for k, v in zip(kinds, values)], pa.string())], ["kind", "value", "surrogate"])
@@ -403,6 +405,7 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
         source = docs.withColumn("__mark", mark).join(own, "__mark", "left").drop("__mark")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         first: dict[tuple[str, str], str] = {}
         for batch in batches:
             texts, counts, kinds = [], [], []

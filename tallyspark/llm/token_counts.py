@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import Pieces, classes, merges, shared_prefix
-from .common import Remembered, table
+from .common import Remembered, give_back, table
 
 #: Contractions that the pre-tokenizer takes as pieces of their own.
 SHORT = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
@@ -139,6 +139,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         counter = PrefixCounts(tokenizer)
         for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
             rows = []

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Remembered, broadcast_if_small, crc_mod, cut, table
+from .common import Remembered, broadcast_if_small, crc_mod, cut, give_back, table
 from .sampling import balanced
 
 WORD = re.compile(r"[^\W_]+")
@@ -131,6 +131,7 @@ def score_toxicity(docs: DataFrame, model: ScaledLinear | None, id_col: str = "d
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         known = Remembered(model.known, 100_000) if model else {}
         rows_of = lambda w: known[w] if len(w) <= LONG else model.known(w)
         for batch in batches:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import END, Pieces, letters, merges, shared_prefix
-from .common import Remembered, table
+from .common import Remembered, give_back, table
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -97,6 +97,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, keep: bool = False, id_col
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         coder = TrieEncoder(tokenizer)
         special = {k: coder.told((v,)) for k, v in coder.merges.special.items()}
         coder.words.make = lambda w: coder.told(next(iter(coder.walk([w])))[1])
