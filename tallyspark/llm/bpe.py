@@ -11,12 +11,17 @@ import json
 import re
 import sys
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterable
 from functools import lru_cache
 
 #: Takes the place of a vocabulary's end-of-word suffix, as one character.
 END = "\ue000"
 NEVER = 1 << 60
+#: Pairs of tokens whose borders are remembered.
+MOST_PAIRS = 300_000
+#: Next nodes, tokens that end it, what it stands for.
+Node = tuple[dict[str, "Node"], tuple[tuple[int, int, dict[int, bool]], ...], str]
 
 
 def byte_alphabet() -> list[str]:
@@ -122,18 +127,26 @@ class Merges:
             self.parts.setdefault(a + b, (a, b, r))
         alphabet = byte_alphabet()
         self.written = str.maketrans({chr(b): c for b, c in enumerate(alphabet)})
-        self.tokens = {*alphabet, *(c + END for c in alphabet if suffix)}
+        tokens = {*alphabet, *(c + END for c in alphabet if suffix)}
         for whole, (a, b, r) in self.parts.items():
-            if a in self.tokens and b in self.tokens and self._apart(a, b, r):
-                self.tokens.add(whole)
+            if a in tokens and b in tokens and self._apart(a, b, r):
+                tokens.add(whole)
+        self.names = sorted(tokens)
+        self.number = {token: k for k, token in enumerate(self.names)}
         #: The longest token, without its mark, that ends with two given symbols.
         self.reach: dict[str, int] = {}
-        for token in self.tokens:
+        for token in self.names:
             bare = len(token) - token.endswith(END)
             for key in {token[-2:], token[-3:]} if bare < len(token) else {token[-2:]}:
                 self.reach[key] = max(self.reach.get(key, 1), bare)
-        self.known: dict[tuple[str, str], bool] = {}
-
+        #: For a token, which others stay apart from it on its right, as far as asked.
+        self.rights: dict[str, dict[int, bool]] = {}
+        self.asked = 0
+        # An automaton of suffixes, made as words ask for it: a node stands for what tokens begin with, and
+        # that of a prefix of a word for the longest such that ends it. It holds the nodes by the next symbol,
+        # the tokens that end it (size, number, rights), longest first, and what it stands for.
+        self.root: Node = ({}, (), "")
+        self.nodes: dict[str, Node] = {"": self.root}
     def symbols(self, word: str) -> str:
         """The word's UTF-8 bytes in the vocabulary's alphabet."""
         return word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.written)
@@ -162,30 +175,65 @@ class Merges:
                 return True
             a, a_ends = down[1], down[2]
 
-    def fits(self, left: str, right: str) -> bool:
-        """Whether ``left`` followed by ``right`` stays as these two tokens."""
-        got = self.known.get((left, right))
+    def fits(self, left: str, right: int) -> bool:
+        """Whether token ``left`` followed by the one numbered ``right`` stays as these two tokens."""
+        rights = self.rights.setdefault(left, {})
+        got = rights.get(right)
         if got is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            got = self.known[left, right] = self._apart(left, right)
+            if self.asked >= MOST_PAIRS:
+                self.asked = 0
+                for known in self.rights.values():
+                    known.clear()
+            self.asked += 1
+            got = rights[right] = self._apart(left, self.names[right])
         return got
 
     def last_start(self, word: str, end: int, last: list[str], mark: str = "") -> int:
-        """Where the last token of ``word[:end] + mark`` starts, given the last tokens of shorter prefixes."""
-        tokens, known = self.tokens, self.known
+        """Where the last token of ``word[:end] + mark`` starts, given the last tokens of shorter prefixes: what ``extend`` finds."""
         for start in range(max(0, end - self.reach.get(word[end - 2 : end] + mark, 1)) if end > 1 else 0, end):
-            token = word[start:end] + mark
-            if token in tokens:
-                if start == 0:
-                    return start
-                got = known.get((last[start], token))
-                if got is None:
-                    got = self.fits(last[start], token)
-                if got:
-                    return start
+            token = self.number.get(word[start:end] + mark)
+            if token is not None and (start == 0 or self.fits(last[start], token)):
+                return start
         raise ValueError(f"no token ends {word[:end]!r}")
 
+    def begins(self, head: str) -> bool:
+        """Whether a token begins with ``head``."""
+        at = bisect_left(self.names, head)
+        return at < len(self.names) and self.names[at].startswith(head)
+
+    def step(self, node: Node, symbol: str) -> Node:
+        """The node after one more symbol."""
+        head = node[2] + symbol
+        while not self.begins(head):
+            head = head[1:]
+        if head not in self.nodes:
+            ends = (head[k:] for k in range(len(head)))
+            self.nodes[head] = {}, tuple((len(t), self.number[t], self.rights.setdefault(t, {})) for t in ends if t in self.number), head
+        to = node[0][symbol] = self.nodes[head]
+        return to
+
+    def extend(self, word: str, nodes: list[Node], rights: list[dict[int, bool]], starts: list[int]) -> None:
+        """Node, rights of the last token and its start for each prefix of ``word``: from those that the lists hold on to all."""
+        end = len(nodes) - 1
+        node = nodes[end]
+        for symbol in word[end:]:
+            end += 1
+            node = node[0].get(symbol) or self.step(node, symbol)
+            for size, token, after in node[1]:
+                start = end - size
+                if start:
+                    fits = rights[start].get(token)
+                    if fits is None:
+                        fits = self.fits(word[starts[start] : start], token)
+                    if not fits:
+                        continue
+                nodes.append(node)
+                rights.append(after)
+                starts.append(start)
+                break
+            else:
+                raise ValueError(f"no token ends {word[:end]!r}")
+
 
 @lru_cache(maxsize=4)
 def merges(path: str) -> Merges:

@@ -45,13 +45,12 @@ class PrefixCounts:
         The list is the next piece's too: read it before going on.
         """
         m = self.merges
-        before, last, counts = "", [""], [0]
+        before, nodes, rights, starts, counts = "", [m.root], [{}], [0], [0]
         for word, piece in sorted((m.symbols(p), p) for p in pieces):
             shared = shared_prefix(before, word)
-            del last[shared + 1 :], counts[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                start = m.last_start(word, end, last)
-                last.append(word[start:end])
+            del nodes[shared + 1 :], rights[shared + 1 :], starts[shared + 1 :], counts[shared + 1 :]
+            m.extend(word, nodes, rights, starts)
+            for start in starts[shared + 1 :]:
                 counts.append(counts[start] + 1)
             before = word
             yield piece, counts
@@ -65,9 +64,9 @@ class PrefixCounts:
 
     def learn(self, texts: list[list[str]]) -> None:
         """Count the pieces of many texts that are not known yet, together."""
-        new = {p for pieces in texts for p in pieces} - self.whole.keys() - self.merges.special.keys()
-        for piece, counts in self.walk(p for p in new if p not in self.whole.old):
-            self.whole.put(piece, counts[-1])
+        whole, special = self.whole, self.merges.special
+        for piece, counts in self.walk([p for p in set().union(*texts) if p not in whole and p not in whole.old and p not in special]):
+            whole.put(piece, counts[-1])
 
     def char_counts(self, piece: str) -> list[int]:
         """As ``byte_counts``, at the piece's code points."""

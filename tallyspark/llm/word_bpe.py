@@ -19,6 +19,8 @@ from .bpe import END, Pieces, letters, merges, shared_prefix
 from .common import Remembered, give_back, table
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+#: Stands between a word's ids and its decoded tokens, which never hold it, in the memo of words.
+THEN = "\0"
 
 
 class TrieEncoder:
@@ -29,27 +31,23 @@ class TrieEncoder:
         self.find = Pieces("'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+")
         special = "|".join(map(re.escape, sorted(self.merges.special, key=len, reverse=True)))
         self.special = re.compile(f"({special})") if special else None
-        self.names = {v: k for k, v in self.merges.ids.items()} | {v: k for k, v in self.merges.special.items()}
-        self.words = Remembered(lambda w: next(iter(self.walk([w])))[1], 100_000)
+        self.names = {v: k.replace(END, self.merges.suffix) for k, v in self.merges.ids.items()} | {v: k for k, v in self.merges.special.items()}
+        self.words = Remembered(lambda w: self.told(next(self.walk([w]))[1]), 150_000)
 
     def walk(self, words: Iterable[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
         """Ids of each distinct word, in the order of the words' trie."""
         m = self.merges
-        before, last, starts = "", [""], [0]
-        for symbols, word in sorted((m.symbols(w), w) for w in words):
+        ids, before, nodes, rights, starts = m.ids, "", [m.root], [{}], [0]
+        for symbols, word in sorted([(m.symbols(w) + END, w) for w in words]):
             shared = shared_prefix(before, symbols)
-            del last[shared + 1 :], starts[shared + 1 :]
-            for end in range(shared + 1, len(symbols) + 1):
-                start = m.last_start(symbols, end, last)
-                last.append(symbols[start:end])
-                starts.append(start)
-            at = m.last_start(symbols, len(symbols), last, END)
-            ids = [m.ids[symbols[at:] + END]]
+            del nodes[shared + 1 :], rights[shared + 1 :], starts[shared + 1 :]
+            m.extend(symbols, nodes, rights, starts)
+            out, at = [], len(symbols)
             while at:
-                ids.append(m.ids[last[at]])
-                at = starts[at]
+                end, at = at, starts[at]
+                out.append(ids[symbols[at:end]])
             before = symbols
-            yield word, tuple(ids[::-1])
+            yield word, tuple(out[::-1])
 
     def split(self, text: str) -> list[str]:
         """Words of a text; a special token in it is a word of its own."""
@@ -69,12 +67,13 @@ class TrieEncoder:
 
     def learn(self, texts: list[list[str]]) -> None:
         """Encode the words of a batch that are not known yet, over one trie."""
-        new = {w for words in texts for w in words} - self.words.keys() - self.merges.special.keys()
-        for word, ids in self.walk(w for w in new if w not in self.words.old):
-            self.words.put(word, self.told(ids))
+        known, special = self.words, self.merges.special
+        for word, ids in self.walk([w for w in set().union(*texts) if w not in known and w not in known.old and w not in special]):
+            known.put(word, self.told(ids))
 
-    def told(self, ids: tuple[int, ...]) -> tuple[int, str, str]:
-        return len(ids), " ".join(map(str, ids)), self.decode(ids)
+    def told(self, ids: tuple[int, ...]) -> str:
+        """The ids, THEN, the decoded tokens."""
+        return " ".join(map(str, ids)) + THEN + self.decode(ids)
 
     def encode(self, text: str) -> list[int]:
         special = self.merges.special
@@ -84,8 +83,8 @@ class TrieEncoder:
 
     def decode(self, ids: Iterable[int]) -> str:
         """The tokens as the vocabulary writes them, joined by spaces; special tokens are kept."""
-        suffix = self.merges.suffix
-        return " ".join(self.names[i].replace(END, suffix) for i in ids if i in self.names)
+        names = self.names
+        return " ".join([names[i] for i in ids if i in names])
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, keep: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,7 +99,6 @@ def encode_documents(docs: DataFrame, tokenizer: str, keep: bool = False, id_col
         give_back()
         coder = TrieEncoder(tokenizer)
         special = {k: coder.told((v,)) for k, v in coder.merges.special.items()}
-        coder.words.make = lambda w: coder.told(next(iter(coder.walk([w])))[1])
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -109,9 +107,10 @@ def encode_documents(docs: DataFrame, tokenizer: str, keep: bool = False, id_col
                 counts, ids, plain = [], [], []
                 for words in texts:
                     got = [special.get(w) or coder.words[w] for w in words] if not special.keys().isdisjoint(words) else list(map(coder.words.__getitem__, words))
-                    counts.append(sum(x[0] for x in got))
-                    ids.append(" ".join([x[1] for x in got]))
-                    plain.append(" ".join([x[2] for x in got]))
+                    cells = THEN.join(got).split(THEN) if got else []
+                    ids.append(" ".join(cells[::2]))
+                    plain.append(" ".join(cells[1::2]))
+                    counts.append(ids[-1].count(" ") + 1 if got else 0)
                 digest = lambda xs: pa.array([sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in xs], pa.string())
                 columns = {"doc_id": batch.column(0).cast(pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids_sha256": digest(ids), "decoded_sha256": digest(plain)}
                 if keep:
