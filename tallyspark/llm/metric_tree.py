@@ -4,14 +4,13 @@ Inner products become distances: with R the largest norm, every vector x gets on
 sqrt(R^2 - |x|^2), a query a 0 there, and then |q - x|^2 = |q|^2 + R^2 - 2 q.x, so the nearest
 neighbours are the highest products. Vectors go to the block of their nearest pivot; each block is
 an M-tree of pages, a page's entries having a pivot, a covering radius and the distance to the
-parent pivot. A search takes pages in order of their least possible distance and leaves out, by
-the triangle inequality on stored distances, entries whose own distance need not be computed. A
+parent pivot. Queries visit pages together, each the nearest child first, and leave out, by the
+triangle inequality on stored distances, pages and entries that cannot be among their nearest. A
 query searches its nearest block first; its k-th distance there rules out blocks that lie farther.
 """
 
 from __future__ import annotations
 
-import heapq
 import io
 from collections.abc import Iterator
 
@@ -25,6 +24,8 @@ from .common import cut, table
 
 #: Vectors of a block, entries of a page, queries that visit a block together.
 BLOCK, PAGE, TOGETHER = 20_000, 64, 20_000
+#: Queries that search a tree side by side, distances kept before those beyond the bounds are dropped.
+AT_ONCE, HELD = 2_000, 1_000_000
 #: Blocks are no smaller than this for the sake of more tasks, and their pivots no more than that.
 SMALL_BLOCK, MOST_PIVOTS = 2_000, 4_096
 #: Bounds on distances are loosened by this share of the lengths involved.
@@ -83,48 +84,63 @@ class Tree:
         return cls(**entries, start=start, leaf=np.array([p[4] for p in pages]))
 
     def search(self, query: np.ndarray, norm: float, k: int, without: int | None = None, bound: float = np.inf) -> list[tuple[float, int]]:
-        """The ``k`` nearest ``(distance, id)`` within ``bound`` of other ids than ``without``, and all that may tie with them.
+        """The ``k`` nearest ``(distance, id)`` within ``bound`` of other ids than ``without``, and all that may tie with them."""
+        _, d, ids = self.search_all(query[None], norm, k, None if without is None else np.array([without]), np.array([bound]))
+        return list(zip(d.tolist(), ids.tolist()))
 
-        All points have the squared length ``norm``, so one product gives the distances of a page.
+    def search_all(self, queries: np.ndarray, norm: float, k: int, without: np.ndarray | None, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(query, distance, id)``: as ``search`` for each query, those that visit a page together.
+
+        All points have the squared length ``norm``, so one product of matrices gives the distances of a
+        page. Of a page's children each query first visits the nearest, then the others that its bound leaves.
         """
-        own = float(query @ query) + norm
-        loose = SLACK * float(np.sqrt(own))
-        bound += loose
-        best: list[float] = []  # the k least distances, negated: the largest on top
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        todo = [(0.0, 0, np.nan)]
-        while todo:
-            least, number, to_pivot = heapq.heappop(todo)
-            if least > bound:
-                break
+        own = (queries**2).sum(1) + norm
+        loose = SLACK * np.sqrt(own)
+        bound = bounds + loose
+        best = np.full((len(queries), k), np.inf)
+        found, held = [], 0
+
+        def kept() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            got = tuple(np.concatenate([f[i] for f in found]) if found else np.empty(0, t) for i, t in enumerate((np.int64, np.float64, np.int64)))
+            good = got[1] <= bound[got[0]]
+            return got[0][good], got[1][good], got[2][good]
+
+        def visit(number: int, at: np.ndarray, to_pivot: np.ndarray | None) -> None:
+            nonlocal found, held
             page = slice(self.start[number], self.start[number + 1])
             points, ids, radii = self.points[page], self.ids[page], self.radii[page]
-            if to_pivot == to_pivot and bound < np.inf:
-                near = np.abs(to_pivot - self.to_parent[page]) - radii <= bound
-                if not near.all():
-                    near = np.flatnonzero(near)
-                    points, ids, radii = points[near], ids[near], radii[near]
-            self.computed += len(ids)
-            d = np.sqrt(np.maximum(0.0, own - 2 * (points @ query)))
-            if not self.leaf[number]:
-                low = d - radii - loose
-                for x, child, away in zip(low.tolist(), ids.tolist(), d.tolist()):
-                    if x <= bound:
-                        heapq.heappush(todo, (x, child, away))
-                continue
-            near = (d <= bound) & (ids != without)
-            closest = d[near]
-            if not len(closest):
-                continue
-            found.append((closest, ids[near]))
-            for x in np.sort(np.partition(closest, k)[:k] if len(closest) > k else closest).tolist():
-                if len(best) == k and x >= -best[0]:
-                    break
-                heapq.heappush(best, -x) if len(best) < k else heapq.heappushpop(best, -x)
-            if len(best) == k:
-                bound = min(bound, -best[0] + loose)
-        d, ids = (np.concatenate([f[i] for f in found]) if found else np.empty(0) for i in (0, 1))
-        return [(float(x), int(i)) for x, i in zip(d, ids) if x <= bound]
+            if to_pivot is not None:
+                near = (np.abs(to_pivot[:, None] - self.to_parent[page]) - radii <= bound[at, None]).any(0)
+                points, ids, radii = points[near], ids[near], radii[near]
+            self.computed += len(ids) * len(at)
+            d = np.sqrt(np.maximum(0.0, own[at, None] - 2 * (queries[at] @ points.T)))
+            if not len(ids):
+                return
+            if self.leaf[number]:
+                far = d > bound[at, None]
+                if without is not None:
+                    far |= ids == without[at, None]
+                d[far] = np.inf
+                best[at] = np.partition(np.concatenate([best[at], d], 1), k - 1, axis=1)[:, :k]
+                bound[at] = np.minimum(bound[at], best[at].max(1) + loose[at])
+                query, row = np.nonzero((d <= bound[at, None]) & (d < np.inf))
+                found.append((at[query], d[query, row], ids[row]))
+                held += len(query)
+                if held > HELD:
+                    found = [kept()]
+                    held = 0
+                return
+            low = d - radii - loose[at, None]
+            first = np.argmin(low, axis=1)
+            for nearest_now in (True, False):
+                for j in np.argsort(low.min(0)).tolist():
+                    go = ((first == j) == nearest_now) & (low[:, j] <= bound[at])
+                    if go.any():
+                        visit(int(ids[j]), at[go], d[go, j])
+
+        if len(queries):
+            visit(0, np.arange(len(queries)), None)
+        return kept()
 
 
 def distances(points: np.ndarray, to: np.ndarray) -> np.ndarray:
@@ -234,12 +250,16 @@ def _visited(pages: DataFrame, asked: DataFrame, norms: dict[int, int], k: int)
     def visit(tree: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         got = Tree.unpacked(tree["data"].iloc[0])
         out = []
-        for query, query_id, v, bound in zip(rows["query"], rows["vec_id"], rows["v"], rows["bound"]):
-            q, norm = np.append(np.asarray(v, np.float64), 0.0), norms[len(v)]
-            own = float(q @ q) + norm
+        for at in range(0, len(rows), AT_ONCE):
+            some = rows.iloc[at : at + AT_ONCE]
+            q = np.stack(some["v"].to_numpy()).astype(np.float64)
+            q, norm = np.concatenate([q, np.zeros((len(q), 1))], 1), norms[q.shape[1]]
+            query_id, bound = some["vec_id"].to_numpy(np.int64), some["bound"].to_numpy(np.float64)
+            i, d, ids = got.search_all(q, norm, k, query_id, np.where(np.isnan(bound), np.inf, bound))
             # From distance back to the whole number: |q|^2 + R^2 - 2 q.x.
-            out += [(query, query_id, i, round((own - d * d) / 2), d) for d, i in got.search(q, norm, k, int(query_id), bound if bound == bound else np.inf)]
-        return pd.DataFrame(out, columns=["query", "query_id", "vec_id", "score", "away"]).astype({"query": "int64", "query_id": "int64", "vec_id": "int64", "score": "int64", "away": "float64"})
+            score = np.rint(((q**2).sum(1)[i] + norm - d * d) / 2).astype(np.int64)
+            out.append(pd.DataFrame({"query": some["query"].to_numpy(np.int64)[i], "query_id": query_id[i], "vec_id": ids, "score": score, "away": d}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["query", "query_id", "vec_id", "score", "away"]).astype({"query": "int64", "query_id": "int64", "vec_id": "int64", "score": "int64", "away": "float64"})
 
     keys = ["block", "part", "group"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(visit, "query long, query_id long, vec_id long, score long, away double")
